@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 #: Bytes of a chunk, bytes a filter sees, size of a byte's embedding, filters.
-CHUNK, WIDTH, DEPTH, FILTERS = 512, 6, 6, 16
+CHUNK, WIDTH, DEPTH, FILTERS = 512, 8, 6, 20
 #: Bounds of the training sample.
-PER_CLASS, TRAIN_CHUNKS = 1_000, 16
+PER_CLASS, TRAIN_CHUNKS = 1_500, 16
 #: Filter places that are computed at once.
 BLOCK = 1 << 16
 
@@ -69,8 +69,8 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit(chunks: np.ndarray, owner: np.ndarray, label: np.ndarray, weight: np.ndarray, epochs: int = 24, batch: int = 64, rate: float = 0.01, seed: int = 7) -> Net:
-    """Adam on weighted log loss.  ``chunks`` (n x CHUNK bytes) belong to texts ``owner``, in order."""
+def fit(chunks: np.ndarray, places: np.ndarray, owner: np.ndarray, label: np.ndarray, weight: np.ndarray, epochs: int = 24, batch: int = 64, rate: float = 0.01, seed: int = 7) -> Net:
+    """Adam on weighted log loss.  ``chunks`` (n x CHUNK bytes, filled up with zeros after ``places`` filter places) belong to texts ``owner``, in order."""
     rng = np.random.default_rng(seed)
     normal = lambda *shape: rng.normal(size=shape).astype(np.float32)
     net = Net(normal(256, DEPTH) * 0.5, normal(WIDTH * DEPTH, FILTERS) / np.sqrt(WIDTH * DEPTH), np.zeros(FILTERS, np.float32), normal(FILTERS) * 0.1, np.zeros(1, np.float32))
@@ -91,6 +91,7 @@ def fit(chunks: np.ndarray, owner: np.ndarray, label: np.ndarray, weight: np.nda
             data = chunks[rows]
             seen = np.ascontiguousarray(windows(net, data))  # n x places x WIDTH*DEPTH
             out = seen @ net.kernel
+            out[np.arange(out.shape[1]) >= places[rows, None]] = -np.inf  # only what the text has
             where = out.argmax(axis=1)
             pooled = np.take_along_axis(out, where[:, None, :], axis=1)[:, 0, :] + net.bias
             active = np.maximum(pooled, 0)
@@ -125,14 +126,15 @@ def sample_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     """At most TRAIN_CHUNKS chunks, evenly spread over each text."""
     for batch in batches:
         data, at = as_bytes(batch.column("text"))
-        out = []
+        out, sizes = [], []
         for lo, hi in zip(at, at[1:]):
             text = data[lo:hi]
-            starts = np.arange(0, max(1, len(text)), CHUNK - WIDTH + 1)
+            starts = np.arange(0, max(1, len(text) - WIDTH + 1), CHUNK - WIDTH + 1)
             if len(starts) > TRAIN_CHUNKS:
                 starts = starts[np.linspace(0, len(starts) - 1, TRAIN_CHUNKS).astype(int)]
+            sizes.append([min(CHUNK, max(WIDTH, len(text) - s)) - WIDTH + 1 for s in starts])
             out.append(b"".join(text[s : s + CHUNK].tobytes().ljust(CHUNK, b"\0") for s in starts))
-        yield pa.RecordBatch.from_arrays([batch.column("quality"), pa.array(out, pa.binary())], ["quality", "chunks"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array(out, pa.binary()), pa.array(sizes, pa.list_(pa.int32()))], ["doc_id", "quality", "chunks", "places"])
 
 
 def in_fold(doc_id: str = "doc_id"):
@@ -149,20 +151,15 @@ def train(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -
     some = [usable.filter(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for q in (0, 1)]
     # At most 2 * per_class rows: a fixed bound.
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(some[0].union(some[1])), "doc_id").select("doc_id", "quality", "text")
-    taken = rows.mapInArrow(sample_chunks_with_id, "doc_id long, quality int, chunks binary").dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
+    taken = rows.mapInArrow(sample_chunks, "doc_id long, quality int, chunks binary, places array<int>").dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
     label = taken.column("quality").to_numpy().astype(np.float64)
     if len(set(label)) < 2:
         return float(label[0]) if len(label) else 0.5
     held = [np.frombuffer(x, np.uint8).reshape(-1, CHUNK) for x in taken.column("chunks").to_pylist()]
     owner = np.repeat(np.arange(len(held)), [len(x) for x in held])
     weight = np.where(label == 1, counts[1] / (label == 1).sum(), counts[0] / (label == 0).sum())
-    return fit(np.concatenate(held), owner, label, weight / weight.mean())
-
-
-def sample_chunks_with_id(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for out in sample_chunks(iter([batch])):
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *out.columns], ["doc_id", "quality", "chunks"])
+    places = np.concatenate([np.array(x, np.int64) for x in taken.column("places").to_pylist()])
+    return fit(np.concatenate(held), places, owner, label, weight / weight.mean())
 
 
 def score_documents(documents: DataFrame, model: Net | float) -> DataFrame:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, packing, quality, topk
-from .common import table
+from . import chat, fingerprints, neardup, packing, quality, topk
+from .common import table, written
 
 
 def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,10 +74,21 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (quality.in_fold() == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = written(spark, fingerprints.edited_pairs(table(spark, sf_dir, "documents")), "edited-pairs")
+    near = written(spark, fingerprints.near_documents(found.select("doc_id", "print")), "near-documents")
+    named = lambda c: F.lower(F.hex(c))
+    return found.join(near, "print").select("doc_id", "n_chars", "edited_sha256", named("print").alias("fingerprint"), named("edited_print").alias("edited_fingerprint"), "near_edited", "near_next", "n_near")
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 

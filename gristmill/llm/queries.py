@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprints, neardup, packing, quality, topk
+from . import chat, fingerprints, neardup, packing, quality, suffixes, topk
 from .common import table, written
 
 
@@ -82,6 +82,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op9_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digest(table(spark, sf_dir, "documents"))
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = written(spark, fingerprints.edited_pairs(table(spark, sf_dir, "documents")), "edited-pairs")
     near = written(spark, fingerprints.near_documents(found.select("doc_id", "print")), "near-documents")

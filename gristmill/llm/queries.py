@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprints, neardup, packing, quality, suffixes, topk
+from . import chat, fingerprints, neardup, packing, pieces, quality, suffixes, topk
 from .common import table, written
 
 
+def vocabulary(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = topk.prepared(table(spark, sf_dir, "embeddings"))
     return topk.top_k(rows.filter(F.col("vec_id") % 20 == 0), rows, 20)
@@ -61,10 +67,8 @@ FROM o GROUP BY conv_id
 """
 
 
-def vocabulary(name: str = "byte_bpe_50k.json") -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
+def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

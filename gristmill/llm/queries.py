@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprints, neardup, packing, pieces, quality, suffixes, topk
-from .common import table, written
+from . import chat, fingerprints, html, neardup, packing, pieces, quality, suffixes, tokencounts, topk
+from .common import shared_path, table, written
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -82,6 +82,28 @@ def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_pages(table(spark, sf_dir, "pages"))
+
+
+OP6_SQL = r"""
+WITH a AS (
+  SELECT page_id, url, regexp_extract(regexp_replace(coalesce(html, ''), '[ \t\n\r\f]+', ' ', 'g'), '<article>(.*)</article>', 1) AS x FROM pages),
+b AS (
+  SELECT page_id, url, string_split(regexp_replace(regexp_replace(regexp_replace(x, '</?(p|h1)>', chr(10), 'g'), '<br>', ' ', 'g'), '<[^>]*>', '', 'g'), chr(10)) AS blocks FROM a),
+c AS (
+  SELECT page_id, url, list_filter(list_transform(blocks, lambda t: trim(regexp_replace(
+    replace(replace(replace(replace(replace(regexp_replace(t, '&amp$', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&'), ' +', ' ', 'g'))), lambda t: t <> '') AS blocks FROM b)
+SELECT page_id, url, coalesce(array_to_string(blocks, chr(10)), '') AS text, length(coalesce(array_to_string(blocks, chr(10)), ''))::BIGINT AS n_chars FROM c
+"""
+
+
+def op7_tokencounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    found = tokencounts.named_counts(documents, vocabulary(), shared_path(spark, "token-files"))
+    return found.select("doc_id", "n_tokens", F.col("part").alias("file_no"), "nth", "start")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -102,4 +124,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_topk": OP1_SQL, "op2_chat": OP2_SQL}
+    return {"op1_topk": OP1_SQL, "op2_chat": OP2_SQL, "op6_html": OP6_SQL}

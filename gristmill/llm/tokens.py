@@ -11,9 +11,12 @@ import numpy as np
 
 
 @lru_cache(maxsize=4)
-def encoder(vocabulary: str) -> Callable[[str], np.ndarray]:
+def encoder(vocabulary: str, special: bool = True) -> Callable[[str], np.ndarray]:
     """Text to uint32 ids of a byte-level BPE vocabulary file (JSON), without special tokens added.
 
+    special: their strings in a text become their ids, as the file's own library has it;
+    otherwise they are ordinary text.
+
     The merges are run by the faster of the two installed libraries, built from the
     same file; texts that it refuses go to the other.
     """
@@ -22,11 +25,12 @@ def encoder(vocabulary: str) -> Callable[[str], np.ndarray]:
 
     with open(vocabulary, encoding="utf-8") as f:
         held = json.load(f)
-    special = {x["content"]: x["id"] for x in held["added_tokens"]}
+    added = {x["content"]: x["id"] for x in held["added_tokens"]}
     byte = {c: b for b, c in enumerate(letters())}
-    ranks = {bytes(byte[c] for c in piece): n for piece, n in held["model"]["vocab"].items() if piece not in special}
-    fast = tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens=special)
-    allowed, whole = set(special), Tokenizer.from_file(vocabulary)
+    ranks = {bytes(byte[c] for c in piece): n for piece, n in held["model"]["vocab"].items() if piece not in added}
+    fast = tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens=added)
+    allowed, whole = set(added) if special else set(), Tokenizer.from_file(vocabulary)
+    whole.encode_special_tokens = not special
 
     def encode(text: str) -> np.ndarray:
         try:

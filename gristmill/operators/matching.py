@@ -114,6 +114,9 @@ def each(pattern: Pattern, text: Text, start: int = 0, end: int | None = None, o
     starts one unit after the last match's start.
     """
     stop, last = bounds(pattern, text, start, end), -1
+    if not more and not overlapping and stop == len(text) and pattern.python is not None:
+        yield from _each_fast(pattern, text, start)
+        return
     at = start
     while at <= stop:
         found = find(pattern, text, at, end, **more)
@@ -122,14 +125,27 @@ def each(pattern: Pattern, text: Text, start: int = 0, end: int | None = None, o
         if overlapping:
             yield found
             at = max(at, found.start) + 1
-        elif found.end == found.start == last:
+        elif found.start == found.end == last:
             at = max(at, found.end) + 1
         else:
             yield found
             last = found.end
-            at = max(found.end, at) if found.end > at or found.end > found.start else at
-            if found.end <= at and found.end == found.start and found.end < at:
-                at += 1
+            at = found.end if found.end > at else at + (found.start == found.end or found.end < at)
+
+
+def _each_fast(pattern: Pattern, text: Text, start: int) -> Iterator[Match]:
+    """The same by the standard library's engine, one search for each match."""
+    search, stop, groups = pattern.python.search, len(text), range(1, pattern.group_count + 1)
+    at, last = start, -1
+    while at <= stop:
+        found = search(text, at)
+        if found is None:
+            return
+        whole = a, b = found.span()
+        if a != b or b != last:
+            yield Match((whole, *(None if (s := found.span(i))[0] < 0 else s for i in groups)))
+            last = b
+        at = b + (a == b)
 
 
 def split(pattern: Pattern, text: Text, n: int | None = None, *, mode: str = "plain", start: int = 0, end: int | None = None, **more) -> list[Text]:

@@ -103,12 +103,20 @@ class Pattern:
 
     @cached_property
     def program(self) -> Program:
-        return Compiler(self.source, self.group_count, list(self.names), self.byte_mode, self.options.size_limit).program(self.node)
+        # The size limit is the instructions of a regular pattern, the steps of an advanced one.
+        limit = None if self.advanced else self.options.size_limit
+        return Compiler(self.source, self.group_count, list(self.names), self.byte_mode, limit).program(self.node)
+
+    @cached_property
+    def budgeted(self) -> bool:
+        """Asks for a budget that only the exact engine counts."""
+        o = self.options
+        return self.advanced and (o.step_limit is not None or o.size_limit < 1_000 or o.nest_limit < analysis.depth(self.node))
 
     @cached_property
     def java(self) -> str | None:
         """The pattern in the dialect of Spark's expressions, if it is provably equal."""
-        if self.byte_mode or self.options.callout:
+        if self.byte_mode or self.options.callout or self.budgeted:
             return None
         try:
             return emit.to_java(self.node)
@@ -118,7 +126,7 @@ class Pattern:
     @cached_property
     def python(self) -> re.Pattern | None:
         """The standard library's form of the pattern, if it is provably equal."""
-        if self.options.callout:
+        if self.options.callout or self.budgeted:
             return None
         try:
             return re.compile(emit.to_python(self.node, self.byte_mode))
@@ -152,8 +160,7 @@ def _build(source: str, options: Options, byte_mode: bool) -> Pattern:
         return Pattern(source, options, byte_mode, node, 0, ())
     parsed = parser.parse()
     pattern = Pattern(source, options, byte_mode, parsed.node, parsed.groups, tuple(parsed.names))
-    if not pattern.advanced or options.size_limit >= 1_000:
-        pattern.program  # size errors belong to compiling
+    pattern.program  # size errors belong to compiling
     return pattern
 
 

@@ -228,9 +228,9 @@ def q18_replace_all(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(rx.replace_all(F.col("text"), "(?<v>[aeiou])([a-z])", "$2$$${v}")).alias("t"))
 
 
-@query("SELECT doc_id, md5(regexp_replace(text, 'x*', '-', 'g')) AS t FROM documents")
+@query("SELECT p_partkey, regexp_replace(p_name, 'l*', '-', 'g') AS t FROM part")
 def q18b_replace_nullable(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.md5(rx.replace_all(F.col("text"), "x*", "-")).alias("t"))
+    return table(spark, d, "part").select("p_partkey", rx.replace_all(F.col("p_name"), "l*", "-").alias("t"))
 
 
 @query("SELECT page_id, md5(regexp_replace(html, '<[^>]*>', '', 'g')) AS t FROM pages")

@@ -151,7 +151,7 @@ def captures_spans(text: Column, pattern: str | Pattern, start=0, end=None, **op
 def match_text(text: Column, pattern: str | Pattern, *, engine: str | None = None, **options) -> Column:
     """The first match's text; NULL if there is none."""
     p = as_pattern(pattern, **options)
-    java = native(p, True, engine)
+    java = None if p.nullable else native(p, True, engine)  # the native form takes an empty match for none
     if java is None:
         kind, _, arrow, _ = kinds(p)
         return exact(text, lambda t: None if (m := matching.find(p, t)) is None else m.string(t), kind, arrow)

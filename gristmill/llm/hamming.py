@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import spread
 
 #: Most strings of a cell (twice that where two salts meet), strings handed to a kernel at once, mean strings of a bucket.
-CELL_ROWS, RUN_ROWS, BUCKET_ROWS = 2_048, 65_536, 64
+CELL_ROWS, RUN_ROWS, BUCKET_ROWS = 2_048, 16_384, 64
 
 
 def blocks(bits: int, count: int) -> list[range]:
@@ -121,7 +121,7 @@ def words_of(prints: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(prints).view(">u8").astype(np.uint64)
 
 
-def close_pairs(prints: np.ndarray, start: np.ndarray, cross: np.ndarray, salt: np.ndarray, radius: int, most: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def close_pairs(prints: np.ndarray, start: np.ndarray, cross: np.ndarray, salt: np.ndarray, radius: int, most: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Row pairs (i < j) of each cell within the radius, in parts of bounded size."""
     words, n = words_of(prints), len(prints)
     end = np.repeat(np.append(start[1:], n), np.diff(np.append(start, n)))
@@ -184,7 +184,7 @@ def least_label(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return label
 
 
-def trie_links(start: np.ndarray, cross: np.ndarray, prints: np.ndarray, salt: np.ndarray, radius: int, most: int = 1 << 20) -> np.ndarray:
+def trie_links(start: np.ndarray, cross: np.ndarray, prints: np.ndarray, salt: np.ndarray, radius: int, most: int = 1 << 17) -> np.ndarray:
     """Each row's smallest row in its cell's link graph, by a self-join of binary tries.
 
     The sorted prints are a trie: a node is a range of rows that share leading bits.

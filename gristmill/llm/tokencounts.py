@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import written
 from .tokens import encoder
 
 #: Bytes of a block.
@@ -98,7 +99,14 @@ def count_tokens(blocks: DataFrame) -> DataFrame:
 
 
 def named_counts(documents: DataFrame, vocabulary: str, path: str) -> DataFrame:
-    """part, nth, doc_id, start, n_tokens of each document, from flat files written to ``path``."""
+    """part, nth, doc_id, start, n_tokens of each document, from flat files written to ``path``.
+
+    Files and manifest are two passes over the rows, which must come in the same order:
+    so they do from a scan of files; whatever has been shuffled is written out first.
+    """
+    documents = documents.select("doc_id", "text")
+    if "Exchange" in documents._jdf.queryExecution().executedPlan().toString():
+        documents = written(documents.sparkSession, documents, "documents")
     write_token_files(documents, vocabulary, path)
     counts = count_tokens(token_blocks(documents.sparkSession, path))
     counts = counts.withColumn("part", F.regexp_extract("file", r"part-(\d+)", 1).cast("int"))

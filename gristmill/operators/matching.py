@@ -72,6 +72,11 @@ def find(pattern: Pattern, text: Text, start: int = 0, end: int | None = None, *
         if found is None:
             return None
         return Match(tuple(None if (s := found.span(i))[0] < 0 else s for i in range(pattern.group_count + 1)))
+    if policy != "first" and not anchored and clock is None and stop == len(text) and pattern.python is not None and not pattern.advanced:
+        found = pattern.python.search(text, start)  # the leftmost start
+        if found is None:
+            return None
+        start, anchored = found.start(), True
     if pattern.advanced:
         return advanced(pattern, text, start, stop, policy=policy, must_end=must_end, anchored=anchored, clock=clock)
     slots = vm.run(pattern.program, text, start, stop, anchored=anchored, policy=policy, must_end=must_end, clock=clock)

@@ -7,9 +7,13 @@ and may yet replace it, so a match is never lost when they die.
 
 from __future__ import annotations
 
+import re
 import time
 
+from ..plans import charset
+from ..plans.emit import Python
 from ..plans.errors import MatchTimeout
+from ..plans.nodes import Chars
 from ..plans.program import Program
 from ..plans.text import decode, holds, tester
 
@@ -28,6 +32,33 @@ class Clock:
             raise MatchTimeout(self.seconds)
 
 
+def starters(program: Program) -> re.Pattern | None:
+    """Finds the next character that a match can start with; None if a match can be empty or octets are read as characters."""
+    if "starters" not in program.__dict__:
+        found, todo, seen = [], [0], set()
+        ok = True
+        while todo and ok:
+            pc = todo.pop()
+            if pc in seen:
+                continue
+            seen.add(pc)
+            op = program.code[pc]
+            if op[0] == "split":
+                todo += [op[1], op[2]]
+            elif op[0] == "jump":
+                todo.append(op[1])
+            elif op[0] in ("save", "assert", "not_next"):
+                todo.append(pc + 1)
+            elif op[0] == "chars":
+                found.append(op[1])
+                ok = op[2]
+            else:
+                ok = False
+        held = charset.union(*found)
+        program.starters = re.compile(Python().chars(Chars(held))) if ok and len(held) < 200 else None
+    return program.starters
+
+
 def follow(code: list[tuple], out: list, seen: set, pc: int, slots: Slots, text: str | bytes, at: int, search_start: int, length: int) -> None:
     """Adds the threads that an instruction leads to without consuming, by priority."""
     stack = [(pc, slots)]
@@ -78,11 +109,17 @@ def run(program: Program, text: str | bytes, start: int, end: int, *, anchored:
     now: list = []
     best: Slots | None = None
     at = start
-    seen: set = {pc for pc, _, wait in now if not wait}
+    seen: set = set()
+    jump = starters(program) if not anchored and isinstance(text, str) else None
     while True:
         if clock:
             clock.tick()
-        if best is None and (at == start or not anchored):
+        if jump and not now and best is None:
+            found = jump.search(text, at, end)
+            if found is None:
+                return None
+            at = found.start()
+        if best is None and (not anchored or at == start):
             follow(code, now, seen, 0, (at, *empty[1:]), text, at, start, length)
         if not now:
             if best is not None or anchored or at >= end:
@@ -215,7 +252,7 @@ class Scanner:
     def read(self, todo: list[tuple[int, int]]) -> list[Slots]:
         code, out = self.program.code, []
         empty = (None,) * (2 * self.program.groups + 2)
-        todo = todo[::-1]
+        todo.reverse()
         while todo:
             unit, width = todo.pop()
             if self.best is None:
@@ -264,7 +301,23 @@ class Scanner:
         return False
 
     def feed(self, chunk: str | bytes) -> list[Slots]:
-        return self.read(self.units(chunk, False))
+        jump = starters(self.program) if isinstance(chunk, str) else None
+        if jump is None:
+            return self.read(self.units(chunk, False))
+        # Characters that start nothing are passed over while no thread lives.
+        out: list[Slots] = []
+        at = 0
+        while at < len(chunk):
+            if not self.threads and self.best is None:
+                found = jump.search(chunk, at)
+                to = found.start() if found else len(chunk)
+                self.at += to - at
+                at = to
+                if found is None:
+                    break
+            out += self.read([(ord(chunk[at]), 1)])
+            at += 1
+        return out
 
     def finish(self) -> list[Slots]:
         out = self.read(self.units(b"", True)) if self.whole else []

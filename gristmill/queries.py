@@ -369,3 +369,134 @@ WORKLOADS = {"literal": "needle", "identifier": r"^[A-Za-z_][A-Za-z0-9_]*$", "al
 @query("SELECT " + ", ".join(f"count(*) FILTER (WHERE regexp_matches(text, '{p}')) AS {n}" for n, p in WORKLOADS.items()) + " FROM documents")
 def q43_workloads(spark, d):
     return table(spark, d, "documents").agg(*(F.sum(rx.is_match(F.col("text"), compile_pattern(p)).cast("long")).alias(n) for n, p in WORKLOADS.items()))
+
+
+# --- syntax and options -------------------------------------------------------
+
+
+@query("""SELECT event_id, nullif(regexp_extract(props, '"k": ([0-9]+)', 1), '') AS k FROM events""")
+def q44_keep(spark, d):
+    return table(spark, d, "events").select("event_id", rx.match_text(F.col("props"), r'"k": \K[0-9]+').alias("k"))
+
+
+@query("SELECT p_partkey, nullif(regexp_extract(p_name, '^[a-z]+ [a-z]+'), '') AS t FROM part")
+def q45_atomic_possessive(spark, d):
+    return table(spark, d, "part").select("p_partkey", rx.match_text(F.col("p_name"), "^[a-z]++ (?>[a-z]+)").alias("t"))
+
+
+@query("SELECT doc_id, CASE WHEN starts_with(text, 'The') THEN 'The' WHEN regexp_matches(text, '^[A-Z]') THEN substr(text, 1, 1) END AS t FROM documents")
+def q46_conditional(spark, d):
+    return table(spark, d, "documents").select("doc_id", rx.match_text(F.col("text"), "^(?:(?=(The))|)(?(1)The|[A-Z])").alias("t"))
+
+
+@query("SELECT p_partkey, regexp_extract(p_brand, 'Brand#([0-9])', 1) AS a, nullif(regexp_extract(p_brand, 'Brand#[0-9]([0-9])', 1), '') AS b FROM part")
+def q47_branch_reset(spark, d):
+    held = rx.match_captures(F.col("p_brand"), r"(?|x(y)(z)|Brand\#([0-9])([0-9])?)")
+    return table(spark, d, "part").select("p_partkey", F.get(held, F.lit(1)).alias("a"), F.get(held, F.lit(2)).alias("b"))
+
+
+@query("SELECT p_partkey, p_size % 5 = p_partkey % 5 AS balanced FROM part")
+def q48_balancing(spark, d):
+    size, key = (F.col("p_size") % 5).cast("int"), (F.col("p_partkey") % 5).cast("int")
+    text = F.concat(F.repeat(F.lit("<"), size), F.lit("-"), F.repeat(F.lit(">"), key))
+    pattern = r"\A(?<open><)*-(?<-open>>)*(?(open)(*FAIL))\z"
+    return table(spark, d, "part").select("p_partkey", rx.is_match(text, pattern).alias("balanced"))
+
+
+def _bracket(found, text):
+    return f"[{found.string(text)}]"
+
+
+@query("SELECT p_partkey, regexp_replace(p_name, '([aeiou]+)', '[\\1]', 'g') AS t FROM part")
+def q49_replace_function(spark, d):
+    return table(spark, d, "part").select("p_partkey", rx.replace_all(F.col("p_name"), "[aeiou]+", _bracket).alias("t"))
+
+
+@query("SELECT c_custkey, CAST(9 AS INTEGER) AS s, CAST(9 + length(regexp_extract(c_name, '#(0*)', 1)) AS INTEGER) AS e FROM customer")
+def q50_group_spans(spark, d):
+    held = rx.match_group_span(F.col("c_name"), r"\#(?<zeros>0*)", "zeros")
+    return table(spark, d, "customer").select("c_custkey", held["start"].alias("s"), held["end"].alias("e"))
+
+
+@query("SELECT c_custkey, CAST(12 + length(regexp_extract(substr(c_name, 13), '^[0-9]*?[1-9]')) AS INTEGER) AS e FROM customer WHERE regexp_matches(substr(c_name, 13), '[1-9]')")
+def q51_scan_at(spark, d):
+    found = table(spark, d, "customer").select("c_custkey", rx.scan_at(F.col("c_name"), "[1-9]", 12).alias("m")).filter("m IS NOT NULL")
+    return found.select("c_custkey", F.col("m.end").alias("e"))
+
+
+@query("SELECT p_partkey, regexp_extract(p_name, '^([a-z]+) ([a-z]+)$', 2) AS noun FROM part WHERE regexp_full_match(p_name, '[a-z]+ [a-z]+')")
+def q52_full_match_captures(spark, d):
+    found = table(spark, d, "part").select("p_partkey", rx.full_match(F.col("p_name"), "([a-z]+) ([a-z]+)").alias("m")).filter("m IS NOT NULL")
+    return found.select("p_partkey", F.get("m.groups", F.lit(2))["text"].alias("noun"))
+
+
+@query("SELECT p_partkey, length(p_name) > 8 AS exceeded FROM part")
+def q53_budget(spark, d):
+    # Every character costs three steps; a budget in steps shows as an error, never as no match.
+    held = rx.match_errors(F.col("p_name"), r"\A(?=.)(?:[a-z ])*+\z", step_limit=1)
+    return table(spark, d, "part").select("p_partkey", (held.isNotNull() & (F.length("p_name") > 8)).alias("exceeded"))
+
+
+@query("SELECT doc_id, CAST(length(string_split_regex(text, '[0-9]+')[1]) AS INTEGER) AS s FROM documents WHERE regexp_matches(text, '[0-9]+')")
+def q54_scan_stream(spark, d):
+    cut = lines.chunks(table(spark, d, "documents"), 1000, "doc_id")
+    return streams.scan_stream(cut, NUMBER, "doc_id").filter("match IS NOT NULL").select("doc_id", F.col("match.start").alias("s"))
+
+
+@query("SELECT doc_id, len(regexp_extract_all(text, '(?m)^[A-Z]')) AS n FROM documents")
+def q56_multi_line(spark, d):
+    return table(spark, d, "documents").select("doc_id", rx.count_matches(F.col("text"), "^[A-Z]", multi_line=True).cast("long").alias("n"))
+
+
+@query("SELECT doc_id, len(regexp_extract_all(text, '[[:upper:]][[:alpha:]]+')) AS n, len(regexp_extract_all(text, '\\p{Lu}')) AS u FROM documents")
+def q57_classes(spark, d):
+    text = F.col("text")
+    return table(spark, d, "documents").select("doc_id", rx.count_matches(text, "[[:upper:]][[:alpha:]]+").cast("long").alias("n"), rx.count_matches(text, r"\p{Lu}").cast("long").alias("u"))
+
+
+@query("SELECT page_id, md5(regexp_extract(html, '(?s)<article>.*</article>')) AS whole, regexp_extract(html, '(?U)<.*>') AS lazy FROM pages")
+def q58_dotall_and_greed(spark, d):
+    html = F.col("html")
+    return table(spark, d, "pages").select("page_id", F.md5(rx.match_text(html, "<article>.*</article>", dot_matches_new_line=True)).alias("whole"), rx.match_text(html, "<.*>", swap_greed=True).alias("lazy"))
+
+
+@query("SELECT page_id, contains(html, '<br><p>') AS a, regexp_matches(html, '(?i)DOCTYPE HTML') AS b FROM pages")
+def q59_literal(spark, d):
+    html = F.col("html")
+    return table(spark, d, "pages").select("page_id", rx.is_match(html, "<br><p>", literal=True).alias("a"), rx.is_match(html, "DOCTYPE HTML", literal=True, case_insensitive=True).alias("b"))
+
+
+@query("SELECT doc_id, md5(array_to_string(regexp_extract_all(text, '[^\\n]+'), '|')) AS t FROM documents")
+def q60_never_newline(spark, d):
+    return table(spark, d, "documents").select("doc_id", joined(rx.all_texts(F.col("text"), r"[\s\S]+", never_newline=True)).alias("t"))
+
+
+@query("SELECT page_id, array_to_string(list_filter([CASE WHEN regexp_matches(url, '^https') THEN 0 END, CASE WHEN regexp_matches(url, '[0-9]+') THEN 1 END, CASE WHEN regexp_matches(url, 'org') THEN 2 END], lambda x: x IS NOT NULL), ',') AS hits FROM pages")
+def q61_byte_set(spark, d):
+    held = sets.compile_byte_set(["^https", r"(?-u:[0-9])+", "org"])
+    return table(spark, d, "pages").select("page_id", F.array_join(sets.set_matches(F.encode("url", "utf-8"), held), ",").alias("hits"))
+
+
+@query("SELECT doc_id, len(regexp_extract_all(text, '(?:^|[^a-z])the')) AS n FROM documents")
+def q62_negative_lookbehind(spark, d):
+    return table(spark, d, "documents").select("doc_id", rx.count_matches(F.col("text"), "(?<![a-z])the").cast("long").alias("n"))
+
+
+@query("SELECT n_nationkey, CASE WHEN n_name ILIKE 'f%' THEN 'F' ELSE 'other' END AS k FROM nation")
+def q63_case_folding(spark, d):
+    hit = rx.is_match(F.col("n_name"), r"\A(?i:f)")
+    return table(spark, d, "nation").select("n_nationkey", F.when(hit, "F").otherwise("other").alias("k"))
+
+
+@query("SELECT o_orderpriority, count(*) AS n, sum(CASE WHEN regexp_matches(o_orderpriority, '^[12]-') THEN 1 ELSE 0 END)::BIGINT AS high FROM orders GROUP BY o_orderpriority")
+def q64_grouped(spark, d):
+    return table(spark, d, "orders").groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.sum(rx.is_match(F.col("o_orderpriority"), "^[12]-").cast("long")).alias("high"))
+
+
+@query("SELECT doc_id, CAST(length(string_split_regex(text, 'th[a-z]')[1]) AS INTEGER) AS s, regexp_extract(text, 'th[a-z]') AS t FROM documents WHERE regexp_matches(text, 'th[a-z]')")
+def q65_sql_names(spark, d):
+    from .functions import sql
+
+    sql.register(spark)
+    table(spark, d, "documents").createOrReplaceTempView("gristmill_documents")
+    return spark.sql("SELECT doc_id, m.start AS s, m.text AS t FROM gristmill_documents, LATERAL rx_matches(text, 'th[a-z]') m WHERE m.nth = 0")

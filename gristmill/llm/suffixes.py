@@ -9,7 +9,7 @@ loses all but its smallest document's.
 
 Steps, each by groups of bounded size:
 
-1. Documents are dealt to groups of about GROUP_BYTES (compressed Arrow blobs).
+1. Documents are dealt to groups of some megabytes (compressed Arrow blobs).
 2. Every suffix has a key: the least hash of its GRAM-byte substrings.  Equal suffixes
    have equal keys, and neighbouring suffixes mostly share one.  Each group sends its
    distinct keys, 4 bytes each, to the keys' buckets, which answer with one bit: does
@@ -32,6 +32,7 @@ take from each other.  Empty table: no rows.  Extra columns ride along in
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -43,8 +44,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 LENGTH, GRAM = 50, 24
-#: Bytes of text of a group, bytes of input for each bucket, suffixes hashed and sorted at once.
-GROUP_BYTES, BUCKET_BYTES, STRETCH, SORTED = 2 << 20, 16 << 20, 1 << 18, 1 << 21
+#: Suffixes hashed at once, and sorted at once.
+STRETCH, SORTED = 1 << 18, 1 << 19
+
+
+def plan_sizes(size: int, parts: int) -> tuple[int, int]:
+    """How many groups and buckets for so many bytes.
+
+    A row goes from each group to each bucket, so both grow with the square root of the
+    input (rows in proportion to it) until a task's memory bounds them: at 32 MB of text
+    for a group, 128 MB of input for a bucket.
+    """
+    root = math.isqrt(max(0, size))
+    group, bucket = min(32 << 20, max(4 << 20, 128 * root)), min(128 << 20, max(16 << 20, 512 * root))
+    return max(parts, -(-size // group)), max(parts, -(-size // bucket))
+
+
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 NO_ID = np.iinfo(np.int64).max
@@ -485,7 +500,7 @@ def deduplicated(documents: DataFrame, finish, schema: str | StructType) -> Data
     spark = documents.sparkSession
     size = documents.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    groups, buckets = max(4 * parts, -(-size // GROUP_BYTES)), max(2 * parts, -(-size // BUCKET_BYTES))
+    groups, buckets = plan_sizes(size, parts)
     blobs = grouped_blobs(documents, groups)
     keys = blobs.groupBy("grp").applyInArrow(send_keys(buckets), ROW)
     told = keys.groupBy("bucket").applyInArrow(answer_keys, ROW)

@@ -112,6 +112,21 @@ def op9_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.digest(table(spark, sf_dir, "documents"))
 
 
+OP9_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+k AS (SELECT doc_id, p, substr(h, 2 * p + 1, 100) AS g FROM (SELECT doc_id, h, unnest(range(n - 49)) AS p FROM d WHERE n >= 50)),
+r AS (SELECT k.doc_id, k.p FROM k JOIN (SELECT g, min(doc_id) AS m FROM k GROUP BY g) f USING (g) WHERE f.m < k.doc_id),
+i AS (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 50 THEN 0 ELSE 1 END AS s FROM r),
+j AS (SELECT doc_id, p, sum(s) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM i),
+s AS (SELECT doc_id, min(p) AS a, max(p) + 50 AS b FROM j GROUP BY doc_id, run),
+e AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS since FROM s),
+t AS (SELECT e.doc_id, sum(b - a) AS gone, count(*) AS spans, max(b) AS last, string_agg(substr(h, 2 * since + 1, 2 * (a - since)), '' ORDER BY a) AS kept FROM e JOIN d USING (doc_id) GROUP BY e.doc_id)
+SELECT doc_id, n AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(spans, 0) AS n_spans,
+  sha256(unhex(coalesce(kept || substr(h, 2 * last + 1), h))) AS kept_sha256
+FROM d LEFT JOIN t USING (doc_id)
+"""
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = written(spark, fingerprints.edited_pairs(table(spark, sf_dir, "documents")), "edited-pairs")
     near = written(spark, fingerprints.near_documents(found.select("doc_id", "print")), "near-documents")
@@ -124,4 +139,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_topk": OP1_SQL, "op2_chat": OP2_SQL, "op6_html": OP6_SQL}
+    return {"op1_topk": OP1_SQL, "op2_chat": OP2_SQL, "op6_html": OP6_SQL, "op9_suffixes": OP9_SQL}

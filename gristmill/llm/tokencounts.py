@@ -6,7 +6,7 @@ a vectorised search finds a block's ends of documents, and a prefix scan over th
 blocks of a file (ends so far, place of the last one) stitches the documents that
 cross boundaries.  Neither text nor tokens are shuffled.
 
-``write_token_files`` writes a table's documents, a file from each task, by Spark's
+``write_token_files`` writes a table's documents, files from each task, by Spark's
 text writer, so any store will do; ``manifest`` names the documents of each file.
 
 Defined cases: null and empty texts are documents of 0 tokens; tokens after the last
@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from .common import written
 from .tokens import encoder
 
-#: Bytes of a block.
-BLOCK = 1 << 20
+#: Bytes of a block, and most documents of a file.
+BLOCK, FILE_DOCUMENTS = 1 << 20, 10_000
 
 
 def write_token_files(documents: DataFrame, vocabulary: str, path: str) -> None:
@@ -43,7 +43,7 @@ def write_token_files(documents: DataFrame, vocabulary: str, path: str) -> None:
                 # The bytes go through as they are; the text writer puts two zero bytes after each row.
                 yield pa.RecordBatch.from_arrays([pa.StringArray.from_buffers(len(raw), pa.py_buffer(ends.tobytes()), pa.py_buffer(b"".join(raw)))], ["value"])
 
-    documents.select("text").mapInArrow(run, "value string").write.option("lineSep", "\x00\x00").option("compression", "none").text(path)
+    documents.select("text").mapInArrow(run, "value string").write.option("lineSep", "\x00\x00").option("compression", "none").option("maxRecordsPerFile", FILE_DOCUMENTS).text(path)
 
 
 def manifest(documents: DataFrame) -> DataFrame:
@@ -109,7 +109,8 @@ def named_counts(documents: DataFrame, vocabulary: str, path: str) -> DataFrame:
         documents = written(documents.sparkSession, documents, "documents")
     write_token_files(documents, vocabulary, path)
     counts = count_tokens(token_blocks(documents.sparkSession, path))
-    counts = counts.withColumn("part", F.regexp_extract("file", r"part-(\d+)", 1).cast("int"))
+    # part-00012-...-c003: the fourth file of task 12.
+    counts = counts.withColumn("part", F.regexp_extract("file", r"part-(\d+)-[^/]*$", 1).cast("int")).withColumn("nth", F.col("nth") + FILE_DOCUMENTS * F.regexp_extract("file", r"-c(\d+)[^-/]*$", 1).cast("long"))
     found = counts.join(manifest(documents), ["part", "nth"], "full")
     missing = F.raise_error(F.lit("token files and documents differ"))
     return found.select("part", "nth", "doc_id", F.when(F.col("n_tokens").isNull() | ~F.col("ended"), missing.cast("long")).otherwise(F.col("start")).alias("start"), "n_tokens")

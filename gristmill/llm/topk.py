@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 
 from .common import spread
 
-#: Most candidates of a block and most queries of a band; with the number of components they bound a cell's memory.
-BLOCK_ROWS, BAND_ROWS = 16_384, 4_096
+#: Most components of a block of candidates and of a band of queries: they bound a cell's memory.
+#: Larger cells mean fewer of them, and so fewer copies of the rows.
+BLOCK_VALUES, BAND_VALUES = 1 << 22, 1 << 20
 OUT = "query_id long, vec_id long, score long"
 
 
@@ -100,15 +101,17 @@ def search_cell(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarr
     return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
 
 
-def top_k(queries: DataFrame, candidates: DataFrame, k: int = 20, block_rows: int = BLOCK_ROWS, band_rows: int = BAND_ROWS) -> DataFrame:
+def top_k(queries: DataFrame, candidates: DataFrame, k: int = 20, block_rows: int | None = None, band_rows: int | None = None) -> DataFrame:
     """Each query's k best candidates by integer inner product, its own id excluded.
 
     ``queries`` and ``candidates`` have (vec_id long, weights array<long>), ids unique.
     Returns query_id, rank (from 1), vec_id, score.
     """
     spark = queries.sparkSession
-    blocks = spread(spark, candidates.count(), block_rows, 2 * spark.sparkContext.defaultParallelism)
-    bands = spread(spark, queries.count(), band_rows, 1)
+    many = candidates.agg(F.count("*").alias("rows"), F.coalesce(F.max(F.size("weights")), F.lit(1)).alias("wide")).first()
+    wide = max(1, many["wide"])
+    blocks = spread(spark, many["rows"], block_rows or max(1, BLOCK_VALUES // wide), 2 * spark.sparkContext.defaultParallelism)
+    bands = spread(spark, queries.count(), band_rows or max(1, BAND_VALUES // wide), 1)
     block_of, band_of = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)), F.pmod(F.xxhash64("vec_id"), F.lit(bands))
     cell = lambda band, block: (band * blocks + block).alias("cell")
     left = queries.select("vec_id", "weights", band_of.alias("band")).select("vec_id", "weights", "band", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")).select("vec_id", "weights", cell(F.col("band"), F.col("block")))

@@ -131,7 +131,9 @@ def test_packing_empty(spark):
     assert packing.pack(docs(spark, []), vocabulary()).collect() == []
 
 
-def test_token_counts(spark):
+@pytest.mark.parametrize("most", [3, 10_000])
+def test_token_counts(spark, most, monkeypatch):
+    monkeypatch.setattr(tokencounts, "FILE_DOCUMENTS", most)
     texts = [*ODD, None]
     df = docs(spark, texts).repartition(3)
     ids = encoder(vocabulary(), special=False)

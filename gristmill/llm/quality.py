@@ -28,7 +28,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 #: Bytes of a chunk, bytes a filter sees, size of a byte's embedding, filters.
 CHUNK, WIDTH, DEPTH, FILTERS = 512, 8, 6, 20
 #: Bounds of the training sample.
-PER_CLASS, TRAIN_CHUNKS = 1_500, 16
+PER_CLASS, TRAIN_CHUNKS, EPOCH_CHUNKS = 1_500, 16, 4
 #: Filter places that are computed at once.
 BLOCK = 1 << 16
 
@@ -69,8 +69,11 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit(chunks: np.ndarray, places: np.ndarray, owner: np.ndarray, label: np.ndarray, weight: np.ndarray, epochs: int = 24, batch: int = 64, rate: float = 0.01, seed: int = 7) -> Net:
-    """Adam on weighted log loss.  ``chunks`` (n x CHUNK bytes, filled up with zeros after ``places`` filter places) belong to texts ``owner``, in order."""
+def fit(chunks: np.ndarray, places: np.ndarray, owner: np.ndarray, label: np.ndarray, weight: np.ndarray, epochs: int = 16, batch: int = 64, rate: float = 0.01, seed: int = 7) -> Net:
+    """Adam on weighted log loss.  ``chunks`` (n x CHUNK bytes, filled up with zeros after ``places`` filter places) belong to texts ``owner``, in order.
+
+    An epoch takes at most EPOCH_CHUNKS chunks of a text, others each time.
+    """
     rng = np.random.default_rng(seed)
     normal = lambda *shape: rng.normal(size=shape).astype(np.float32)
     net = Net(normal(256, DEPTH) * 0.5, normal(WIDTH * DEPTH, FILTERS) / np.sqrt(WIDTH * DEPTH), np.zeros(FILTERS, np.float32), normal(FILTERS) * 0.1, np.zeros(1, np.float32))
@@ -85,9 +88,10 @@ def fit(chunks: np.ndarray, places: np.ndarray, owner: np.ndarray, label: np.nda
         speed = rate * (0.5 * (1 + np.cos(np.pi * epoch / epochs)) + 0.02)
         for lo in range(0, len(order), batch):
             docs = order[lo : lo + batch]
-            rows = np.concatenate([np.arange(first[d], first[d + 1]) for d in docs])
-            held = np.repeat(np.arange(len(docs)), first[docs + 1] - first[docs])
-            share = 1.0 / (first[docs + 1] - first[docs])[held]
+            many = np.minimum(first[docs + 1] - first[docs], EPOCH_CHUNKS)
+            rows = np.concatenate([first[d] + rng.permutation(first[d + 1] - first[d])[:n] for d, n in zip(docs, many)])
+            held = np.repeat(np.arange(len(docs)), many)
+            share = 1.0 / many[held]
             data = chunks[rows]
             seen = np.ascontiguousarray(windows(net, data))  # n x places x WIDTH*DEPTH
             out = seen @ net.kernel

@@ -26,7 +26,7 @@ KEEP = 0.3
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, trained on the labelled rows, doesn't reject."""
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.score_documents(docs, model).filter(F.col("score") >= KEEP).select(*docs.columns)
+    return quality.score_documents(docs, model, "__quality").filter(F.col("__quality") >= KEEP).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -166,9 +166,9 @@ def train(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -
     return fit(np.concatenate(held), places, owner, label, weight / weight.mean())
 
 
-def score_documents(documents: DataFrame, model: Net | float) -> DataFrame:
-    """``documents`` with a column ``score``: the probability of label 1 of the whole text."""
-    names = [c for c in documents.columns if c != "score"]
+def score_documents(documents: DataFrame, model: Net | float, out: str = "score") -> DataFrame:
+    """``documents`` with a column ``out``: the probability of label 1 of the whole text.  One of that name is replaced."""
+    names = [c for c in documents.columns if c != out]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -178,7 +178,7 @@ def score_documents(documents: DataFrame, model: Net | float) -> DataFrame:
                 data, at = as_bytes(batch.column("text"))
                 rows = [features(model, data[lo:hi]) for lo, hi in zip(at, at[1:])]
                 scores = sigmoid(np.array(rows).reshape(-1, FILTERS) @ model.head.astype(np.float64) + float(model.offset[0]))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(scores, pa.float64())], [*names, "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(scores, pa.float64())], [*names, out])
 
     held = documents.select(*names)
-    return held.mapInArrow(run, StructType([*held.schema.fields, StructField("score", DoubleType())]))
+    return held.mapInArrow(run, StructType([*held.schema.fields, StructField(out, DoubleType())]))

@@ -21,7 +21,6 @@ def encoder(vocabulary: str, special: bool = True) -> Callable[[str], np.ndarray
     same file; texts that it refuses go to the other.
     """
     import tiktoken
-    from tokenizers import Tokenizer
 
     with open(vocabulary, encoding="utf-8") as f:
         held = json.load(f)
@@ -29,8 +28,7 @@ def encoder(vocabulary: str, special: bool = True) -> Callable[[str], np.ndarray
     byte = {c: b for b, c in enumerate(letters())}
     ranks = {bytes(byte[c] for c in piece): n for piece, n in held["model"]["vocab"].items() if piece not in added}
     fast = tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens=added)
-    allowed, whole = set(added) if special else set(), Tokenizer.from_file(vocabulary)
-    whole.encode_special_tokens = not special
+    allowed = set(added) if special else set()
 
     def encode(text: str) -> np.ndarray:
         try:
@@ -38,11 +36,21 @@ def encoder(vocabulary: str, special: bool = True) -> Callable[[str], np.ndarray
         except (KeyboardInterrupt, SystemExit):
             raise
         except BaseException:  # noqa: BLE001  a panic of the library's regex engine on extreme texts is no Exception
-            return np.array(whole.encode(text, add_special_tokens=False).ids, np.uint32)
+            return np.array(library(vocabulary, special).encode(text, add_special_tokens=False).ids, np.uint32)
 
     return encode
 
 
+@lru_cache(maxsize=4)
+def library(vocabulary: str, special: bool = True):
+    """The file's own library, loaded when a text needs it."""
+    from tokenizers import Tokenizer
+
+    found = Tokenizer.from_file(vocabulary)
+    found.encode_special_tokens = not special
+    return found
+
+
 #: Fixed value: the published split pattern of byte-level BPE.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 

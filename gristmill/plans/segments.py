@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import lru_cache
 
-from . import charset, unidata
+from . import unidata
 from .charset import Test
 
 #: The classes of each property.
@@ -13,10 +13,6 @@ CLASSES = {
     "WB": ("CR", "LF", "Newline", "Extend", "ZWJ", "Format", "Katakana", "Hebrew_Letter", "ALetter", "Single_Quote", "Double_Quote", "MidNumLet", "MidLetter", "MidNum", "Numeric", "ExtendNumLet", "Regional_Indicator", "WSegSpace"),
     "SB": ("CR", "LF", "Sep", "Extend", "Format", "Sp", "Lower", "Upper", "OLetter", "Numeric", "ATerm", "SContinue", "STerm", "Close"),
 }
-#: Conjunct linkers and the blocks whose letters they join.
-LINKERS = charset.ranges((x, x) for x in (0x094D, 0x09CD, 0x0ACD, 0x0B4D, 0x0C4D, 0x0D4D))
-CONJUNCT = charset.ranges([(0x0915, 0x0939), (0x0958, 0x095F), (0x0978, 0x097F), (0x0995, 0x09B9), (0x09DC, 0x09DF), (0x0A95, 0x0AB9), (0x0B15, 0x0B39), (0x0C15, 0x0C39), (0x0D15, 0x0D3A)])
-
 
 @lru_cache(maxsize=4)
 def tests(prop: str) -> list[tuple[str, Test]]:
@@ -39,14 +35,10 @@ def pictographic() -> Test:
     return Test(unidata.probe("Extended_Pictographic") or ())
 
 
-@lru_cache(maxsize=1)
-def linker() -> Test:
-    return Test(LINKERS)
-
-
-@lru_cache(maxsize=1)
-def consonant() -> Test:
-    return Test(charset.intersect(CONJUNCT, unidata.category("Lo")))
+@lru_cache(maxsize=3)
+def conjunct(role: str) -> Test:
+    """Characters of a role in Indic conjuncts."""
+    return Test(unidata.probe(f"InCB={role}") or ())
 
 
 def grapheme_break(cps: list[int], at: int) -> bool:
@@ -60,12 +52,12 @@ def grapheme_break(cps: list[int], at: int) -> bool:
         return False
     if b in ("Extend", "ZWJ", "SpacingMark") or a == "Prepend":
         return False
-    if consonant()(cps[at]):  # consonant, marks with a linker among them, consonant
+    if conjunct("Consonant")(cps[at]):  # consonant, marks with a linker among them, consonant
         i, linked = at - 1, False
-        while i >= 0 and (linker()(cps[i]) or kind("GCB", cps[i]) in ("Extend", "ZWJ")):
-            linked = linked or linker()(cps[i])
+        while i >= 0 and (conjunct("Linker")(cps[i]) or conjunct("Extend")(cps[i])):
+            linked = linked or conjunct("Linker")(cps[i])
             i -= 1
-        if linked and i >= 0 and consonant()(cps[i]):
+        if linked and i >= 0 and conjunct("Consonant")(cps[i]):
             return False
     if a == "ZWJ" and pictographic()(cps[at]):
         i = at - 2

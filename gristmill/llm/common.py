@@ -15,16 +15,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares: ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """The folder that the cluster shares: ``spark.checkpoint.dir``; a temporary one only in local mode where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='gristmill-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+#: What has been written to the shared folder and not been deleted.
+_paths: set[str] = set()
+
+
 def shared_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _paths.add(path)
+    return path
+
+
+def forget(spark: SparkSession) -> None:
+    """Deletes all that this process has written to the shared folder; results that read from it must be done."""
+    for path in list(_paths):
+        delete_path(spark, path)
 
 
 def written(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
@@ -38,6 +52,7 @@ def delete_path(spark: SparkSession, path: str) -> None:
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(conf).delete(where, True)
+    _paths.discard(path)
 
 
 def spread(spark: SparkSession, rows: int, per_task: int, least: int | None = None) -> int:

@@ -222,7 +222,7 @@ def test_collisions_are_verified():
 
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
-    from gristmill.llm import packing
+    from gristmill.llm import common, packing
 
     rng = random.Random(4)
     junk = [" ".join(w.upper() + "!!$" for w in prose(30).split()) for _ in range(60)]
@@ -246,3 +246,5 @@ def test_pipeline(spark, tmp_path):
     assert third == {i: bytes(b for p, b in enumerate(d) if p not in gone).decode("utf-8", "ignore") for (i, d), gone in zip(rows, plain_removed(rows))} and len(third[202]) < len(texts[202])
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in out} == set(third) and all(r.length <= packing.CAPACITY for r in out)
+    common.forget(spark)
+    assert not common._paths

@@ -4,10 +4,10 @@ A page is read as a sequence of blocks; each has the path of tags (and classes)
 the root.  For every path the length of its texts, their punctuation and the share of
 linked text are added up over the page; a path's text ratio (characters for each
 block) and punctuation ratio are smoothed over the paths of the same container and
-fused into one score.  Paths through tags or classes that never hold main text
-(fixed lists below) score 0.  If the page names its main container (article, main),
-the paths inside it are content; otherwise those are whose score reaches a share of
-the best one's.
+fused into one score, a share of the page's best, to which structure adds: a path
+inside a container that the page names as its main one (article, main) gains 1, one
+outside it loses 1.  Paths whose score reaches a threshold are content.  Paths through
+tags or classes that never hold main text (fixed lists below) have no score.
 
 Defined cases: null and empty html, and pages without content, give the empty text.
 Unclosed and misplaced tags are read leniently; a cut-off page is read as far as it
@@ -126,34 +126,38 @@ def extract(html: str | None) -> str:
     """The main text of one page."""
     rows = []
     sums: dict[tuple[str, ...], list[float]] = defaultdict(lambda: [0, 0, 0, 0])
-    any_main = False
+    named: dict[tuple[str, ...], bool] = {}
     for path, allowed, main, pieces, linked in blocks(html or ""):
         text = " ".join(unescape("".join(pieces)).split())
         if not text or not allowed:
             continue
-        rows.append((path, main, text))
-        any_main = any_main or main
+        rows.append((path, text))
+        named[path] = main
         held = sums[path]
         held[0] += len(text)
         held[1] += len(PUNCTUATION.findall(text))
         held[2] += min(linked, len(text))
         held[3] += 1
-    if any_main:
-        return "\n".join(text for _, main, text in rows if main)
-    # Smooth over the container, fuse, threshold.
+    scores = fused(sums, named)
+    return "\n".join(text for path, text in rows if scores[path] >= THRESHOLD)
+
+
+def fused(sums: dict[tuple[str, ...], list[float]], named: dict[tuple[str, ...], bool]) -> dict[tuple[str, ...], float]:
+    """Each path's score, from (characters, punctuation, linked characters, blocks) and whether it is in a named main container."""
     around: dict[tuple[str, ...], list[float]] = defaultdict(lambda: [0, 0, 0, 0])
     for path, held in sums.items():
         for i, v in enumerate(held):
             around[path[:-1]][i] += v
 
-    def score(path: tuple[str, ...]) -> float:
+    def ratio(path: tuple[str, ...]) -> float:
         own, near = sums[path], around[path[:-1]]
-        mean = lambda i: 0.5 * own[i] / own[3] + 0.5 * near[i] / near[3]
-        return mean(0) * (1 + mean(1)) * max(0.0, 1 - mean(2) / max(1e-9, mean(0)))
+        mean = lambda i: 0.5 * own[i] / own[3] + 0.5 * near[i] / near[3]  # noqa: E731  smoothed over the container
+        return mean(0) * (1 + mean(1)) * max(0.0, 1 - mean(2) / mean(0))
 
-    scores = {path: score(path) for path in sums}
-    least = THRESHOLD * max(scores.values(), default=0)
-    return "\n".join(text for path, _, text in rows if scores[path] >= least and scores[path] > 0)
+    ratios = {path: ratio(path) for path in sums}
+    best = max(ratios.values(), default=0) or 1
+    lean = 1 if any(named.values()) else 0
+    return {path: r / best + (lean if named[path] else -lean) for path, r in ratios.items()}
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:

@@ -84,10 +84,15 @@ def native(pattern: Pattern, whole: bool, engine: str | None) -> str | None:
 # --- predicates ---------------------------------------------------------------
 
 
-def is_match(text: Column, pattern: str | Pattern, start=0, end=None, *, engine: str | None = None, **options) -> Column:
-    """Is there a match?  Anchored literals become comparisons that reach the scan."""
+def is_match(text: Column, pattern: str | Pattern, start=0, end=None, *, engine: str | None = None, timeout: float | None = None, **options) -> Column:
+    """Is there a match?  Anchored literals become comparisons that reach the scan.
+
+    timeout: seconds for each text, by the exact engine; beyond them the job fails.
+    """
     p = as_pattern(pattern, **options)
     whole, place = ranged(start, end)
+    if timeout is not None:
+        return exact(text, lambda t, a, b: matching.is_match(p, t, a, b, timeout=timeout), "boolean", pa.bool_(), *place)
     java = native(p, whole, engine)
     if java is None:
         if whole:
@@ -136,10 +141,11 @@ full_match = _one(matching.full_match)
 run_advanced = _one(lambda p, t, a, b, timeout=None: matching.advanced(p, t, a, b, clock=matching.Clock(timeout) if timeout else None))
 
 
-def shortest_match(text: Column, pattern: str | Pattern, start=0, end=None, **options) -> Column:
+def shortest_match(text: Column, pattern: str | Pattern, start=0, end=None, *, timeout: float | None = None, **options) -> Column:
     """The earliest end at the leftmost start."""
     p = as_pattern(pattern, **options)
-    return exact(text, lambda t, a, b: matching.shortest(p, t, a, b), "int", pa.int32(), *ranged(start, end)[1])
+    more = {} if timeout is None else {"timeout": timeout}
+    return exact(text, lambda t, a, b: matching.shortest(p, t, a, b, **more), "int", pa.int32(), *ranged(start, end)[1])
 
 
 def captures_spans(text: Column, pattern: str | Pattern, start=0, end=None, **options) -> Column:
@@ -222,11 +228,12 @@ def captures_struct(text: Column, pattern: str | Pattern, **options) -> Column:
 # --- all matches --------------------------------------------------------------
 
 
-def all_matches(text: Column, pattern: str | Pattern, start=0, end=None, *, overlapping: bool = False, **options) -> Column:
+def all_matches(text: Column, pattern: str | Pattern, start=0, end=None, *, overlapping: bool = False, timeout: float | None = None, **options) -> Column:
     """array<MATCH>, left to right; an empty match right after another match is left out."""
     p = as_pattern(pattern, **options)
     _, spark_type, _, arrow = kinds(p)
-    return exact(text, lambda t, a, b: [record(m, t) for m in matching.each(p, t, a, b, overlapping)], f"array<{spark_type}>", pa.list_(arrow), *ranged(start, end)[1])
+    more = {} if timeout is None else {"timeout": timeout}
+    return exact(text, lambda t, a, b: [record(m, t) for m in matching.each(p, t, a, b, overlapping, **more)], f"array<{spark_type}>", pa.list_(arrow), *ranged(start, end)[1])
 
 
 def all_matches_overlapping(text: Column, pattern: str | Pattern, start=0, end=None, **options) -> Column:

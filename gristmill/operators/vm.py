@@ -234,6 +234,12 @@ class Scanner:
         self.kept: list[tuple[int, int]] = []  # units and widths since the best match's end
         self.partial = b""
 
+    def copy(self) -> Scanner:
+        """The same search, to be fed on its own."""
+        twin = Scanner(self.program, self.at, self.whole)
+        twin.threads, twin.best, twin.found, twin.kept, twin.partial = list(self.threads), self.best, self.found, list(self.kept), self.partial
+        return twin
+
     def units(self, chunk: str | bytes, last: bool) -> list[tuple[int, int]]:
         if isinstance(chunk, str):
             return [(ord(c), 1) for c in chunk]
@@ -249,12 +255,14 @@ class Scanner:
         self.partial = data[at:]
         return out
 
-    def read(self, todo: list[tuple[int, int]]) -> list[Slots]:
+    def read(self, todo: list[tuple[int, int]], clock: Clock | None = None) -> list[Slots]:
         code, out = self.program.code, []
         empty = (None,) * (2 * self.program.groups + 2)
         todo.reverse()
         while todo:
             unit, width = todo.pop()
+            if clock:
+                clock.tick()
             if self.best is None:
                 self.spread(self.threads, {t[0] for t in self.threads}, 0, (self.at, *empty[1:]))
             else:
@@ -300,10 +308,10 @@ class Scanner:
                 out.append((pc, slots))
         return False
 
-    def feed(self, chunk: str | bytes) -> list[Slots]:
+    def feed(self, chunk: str | bytes, clock: Clock | None = None) -> list[Slots]:
         jump = starters(self.program) if isinstance(chunk, str) else None
         if jump is None:
-            return self.read(self.units(chunk, False))
+            return self.read(self.units(chunk, False), clock)
         # Characters that start nothing are passed over while no thread lives.
         out: list[Slots] = []
         at = 0
@@ -315,14 +323,14 @@ class Scanner:
                 at = to
                 if found is None:
                     break
-            out += self.read([(ord(chunk[at]), 1)])
+            out += self.read([(ord(chunk[at]), 1)], clock)
             at += 1
         return out
 
-    def finish(self) -> list[Slots]:
-        out = self.read(self.units(b"", True)) if self.whole else []
+    def finish(self, clock: Clock | None = None) -> list[Slots]:
+        out = self.read(self.units(b"", True), clock) if self.whole else []
         while self.best is not None:
-            out += self.read(self.settle(out))
+            out += self.read(self.settle(out), clock)
         return out
 
 

@@ -84,9 +84,9 @@ class Buffer:
 class Incremental:
     """One key's live search; it keeps no input but what an undecided match needs."""
 
-    def __init__(self, pattern: Pattern, start: int = 0):
+    def __init__(self, pattern: Pattern, start: int = 0, timeout: float | None = None):
         streamable(pattern)
-        self.pattern, self.start = pattern, start
+        self.pattern, self.start, self.timeout = pattern, start, timeout
         self.reset()
 
     def reset(self) -> None:
@@ -101,13 +101,20 @@ class Incremental:
         if self.finished:
             raise ValueError("the stream has ended")
         matching.bounds(self.pattern, chunk, 0, None)
-        return [matching.scanned(s) for s in self.scanner.feed(chunk)]
+        trial = self.scanner.copy()
+        found = [matching.scanned(s) for s in trial.feed(chunk, self.clock())]
+        self.scanner = trial
+        return found
+
+    def clock(self) -> matching.Clock | None:
+        return None if self.timeout is None else matching.Clock(self.timeout)
 
     def finish(self) -> list[matching.Match]:
         """The matches that the end makes certain; again the same ones if called again."""
         if not self.finished:
-            self.last = [matching.scanned(s) for s in self.scanner.finish()]
-            self.finished = True
+            trial = self.scanner.copy()
+            self.last = [matching.scanned(s) for s in trial.finish(self.clock())]
+            self.scanner, self.finished = trial, True
         return list(self.last)
 
 

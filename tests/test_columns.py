@@ -80,6 +80,9 @@ def test_structs_and_ranges(spark, texts):
     assert values(texts, rx.replace_all(F.col("text"), "a", lambda m, t: m.string(t).upper()))[2] == "Abc"
     kinds = values(texts, rx.match_errors(F.col("text"), "(?=a)a", size_limit=1))
     assert kinds[2].kind == "steps" and kinds[2].used > kinds[2].limit and kinds[0] is None
+    assert values(texts, rx.is_match(F.col("text"), "b", timeout=60)) == [None if t is None else "b" in t for t in TEXTS]
+    assert len(values(texts, rx.all_matches(F.col("text"), "[0-9]", timeout=60))[4]) == 6
+    assert values(texts, rx.shortest_match(F.col("text"), "a+", timeout=60))[10] == 1
     with pytest.raises(TypeError):
         rx.match_group(F.col("text"), "(?<a>x)", "b")
     with pytest.raises(FuzzyUnsupported):

@@ -85,3 +85,17 @@ def test_incremental():
             streams.Incremental(compile(pattern))
     with pytest.raises(PatternSyntaxError):
         streams.Incremental(compile_bytes(r"é(?-u:\xff)"))
+
+
+def test_a_timeout_leaves_the_search_as_it_was():
+    from gristmill.plans.errors import MatchTimeout
+
+    live = streams.Incremental(compile("(?:a|aa|aaa)+b"), timeout=1e-9)
+    live.timeout = None
+    assert live.feed("aa") == [] and live.position == 2
+    live.timeout = 1e-9
+    with pytest.raises(MatchTimeout):
+        live.feed("a" * 500)
+    assert live.position == 2
+    live.timeout = None
+    assert [m.spans[0] for m in live.feed("b")] == [(0, 3)]

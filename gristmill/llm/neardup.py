@@ -76,7 +76,15 @@ def near_duplicates(documents: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def keep_firsts(documents: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """One document of each component: the one with the smallest id.  Rows with a null id stay."""
-    found = near_duplicates(documents.filter("doc_id IS NOT NULL"), radius)
-    firsts = found.filter("doc_id = component_id").select(F.col("doc_id").alias("first_id")).distinct()
-    return documents.join(firsts, documents["doc_id"] == firsts["first_id"], "left_semi").unionByName(documents.filter("doc_id IS NULL"))
+    """One document of each component: the one with the smallest id.
+
+    Rows with a null id stay.  Rows that repeat an id and its text are one; rows of one
+    id with different texts stay or go together.
+    """
+    found = written(documents.sparkSession, near_duplicates(documents.filter("doc_id IS NOT NULL"), radius).select("doc_id", "component_id"), "components")
+    firsts = found.filter("doc_id = component_id").groupBy(F.col("doc_id").alias("first_id")).agg(F.count("*").alias("rows"))
+    firsts = written(documents.sparkSession, firsts, "firsts")
+    kept = documents.join(firsts, documents["doc_id"] == firsts["first_id"], "left_semi")
+    if firsts.filter("rows > 1").limit(1).count():
+        kept = kept.dropDuplicates(["doc_id", "text"])
+    return kept.unionByName(documents.filter("doc_id IS NULL"))

@@ -66,6 +66,16 @@ def exact(text: Column, fn: Callable, returns: str | DataType, arrow: pa.DataTyp
     return F.arrow_udf(lambda a, b, c: run(a, b, c), returns)(text, *more)
 
 
+def candidates(text: Column, p: Pattern) -> Column:
+    """The texts that can match at all, NULL for the rest: those never reach Python's loops."""
+    return text if len(p.required) < GUARD else F.when(text.contains(p.required), text)
+
+
+def otherwise(found: Column, text: Column, p: Pattern, value: Column) -> Column:
+    """``value`` for the texts that were no candidates."""
+    return found if len(p.required) < GUARD else F.when(text.isNotNull(), F.coalesce(found, value))
+
+
 def ranged(start, end) -> tuple[bool, tuple[Column, Column]]:
     """Whether the range is the whole text, and its columns."""
     column = lambda x: x if isinstance(x, Column) else F.lit(x).cast("int")
@@ -96,8 +106,7 @@ def is_match(text: Column, pattern: str | Pattern, start=0, end=None, *, engine:
     java = native(p, whole, engine)
     if java is None:
         if whole:
-            found = exact(text, lambda t: matching.is_match(p, t), "boolean", pa.bool_())
-            return found if len(p.required) < GUARD else F.when(text.contains(p.required), found).when(text.isNotNull(), False)
+            return otherwise(exact(candidates(text, p), lambda t: matching.is_match(p, t), "boolean", pa.bool_()), text, p, F.lit(False))
         return exact(text, lambda t, a, b: matching.is_match(p, t, a, b), "boolean", pa.bool_(), *place)
     plain = analysis.anchored_literal(p.node)
     if plain:
@@ -128,7 +137,7 @@ def _one(fn: Callable):
         p = as_pattern(pattern, **options)
         _, spark_type, _, arrow = kinds(p)
         more = {} if timeout is None else {"timeout": timeout}
-        return exact(text, lambda t, a, b: record(fn(p, t, a, b, **more), t), spark_type, arrow, *ranged(start, end)[1])
+        return exact(candidates(text, p), lambda t, a, b: record(fn(p, t, a, b, **more), t), spark_type, arrow, *ranged(start, end)[1])
 
     return column
 
@@ -145,13 +154,13 @@ def shortest_match(text: Column, pattern: str | Pattern, start=0, end=None, *, t
     """The earliest end at the leftmost start."""
     p = as_pattern(pattern, **options)
     more = {} if timeout is None else {"timeout": timeout}
-    return exact(text, lambda t, a, b: matching.shortest(p, t, a, b, **more), "int", pa.int32(), *ranged(start, end)[1])
+    return exact(candidates(text, p), lambda t, a, b: matching.shortest(p, t, a, b, **more), "int", pa.int32(), *ranged(start, end)[1])
 
 
 def captures_spans(text: Column, pattern: str | Pattern, start=0, end=None, **options) -> Column:
     """The spans of the first match's groups: array<struct<start,end>>, NULL where one took no part."""
     p = as_pattern(pattern, **options)
-    return exact(text, lambda t, a, b: spans_of(matching.find(p, t, a, b)), f"array<{SPAN}>", SPANS, *ranged(start, end)[1])
+    return exact(candidates(text, p), lambda t, a, b: spans_of(matching.find(p, t, a, b)), f"array<{SPAN}>", SPANS, *ranged(start, end)[1])
 
 
 def match_text(text: Column, pattern: str | Pattern, *, engine: str | None = None, **options) -> Column:
@@ -160,7 +169,7 @@ def match_text(text: Column, pattern: str | Pattern, *, engine: str | None = Non
     java = None if p.nullable else native(p, True, engine)  # the native form takes an empty match for none
     if java is None:
         kind, _, arrow, _ = kinds(p)
-        return exact(text, lambda t: None if (m := matching.find(p, t)) is None else m.string(t), kind, arrow)
+        return exact(candidates(text, p), lambda t: None if (m := matching.find(p, t)) is None else m.string(t), kind, arrow)
     return F.regexp_substr(text, F.lit(java))
 
 
@@ -169,7 +178,7 @@ def match_start(text: Column, pattern: str | Pattern, *, engine: str | None = No
     p = as_pattern(pattern, **options)
     java = None if p.nullable else native(p, True, engine)
     if java is None:
-        return exact(text, lambda t: None if (m := matching.find(p, t)) is None else m.start, "int", pa.int32())
+        return exact(candidates(text, p), lambda t: None if (m := matching.find(p, t)) is None else m.start, "int", pa.int32())
     return F.when(text.rlike(java), F.length(F.get(F.split(text, java, 2), F.lit(0))))
 
 
@@ -178,7 +187,7 @@ def match_end(text: Column, pattern: str | Pattern, *, engine: str | None = None
     p = as_pattern(pattern, **options)
     java = None if p.nullable else native(p, True, engine)
     if java is None:
-        return exact(text, lambda t: None if (m := matching.find(p, t)) is None else m.end, "int", pa.int32())
+        return exact(candidates(text, p), lambda t: None if (m := matching.find(p, t)) is None else m.end, "int", pa.int32())
     return match_start(text, p) + F.length(F.regexp_substr(text, F.lit(java)))
 
 
@@ -195,7 +204,7 @@ def match_group(text: Column, pattern: str | Pattern, key: int | str, *, engine:
             span = found and found.span(p, key)
             return None if span is None else t[span[0] : span[1]]
 
-        return exact(text, run, kind, arrow)
+        return exact(candidates(text, p), run, kind, arrow)
     return F.when(text.rlike(java), F.regexp_extract(text, java, indexes[0]))
 
 
@@ -213,7 +222,7 @@ def match_captures(text: Column, pattern: str | Pattern, *, engine: str | None =
     java = native(p, True, engine) if p.static_capture_count == p.capture_count else None
     if java is None:
         kind, _, arrow, _ = kinds(p)
-        return exact(text, lambda t: None if (m := matching.find(p, t)) is None else m.captures(t), f"array<{kind}>", pa.list_(arrow))
+        return exact(candidates(text, p), lambda t: None if (m := matching.find(p, t)) is None else m.captures(t), f"array<{kind}>", pa.list_(arrow))
     return F.when(text.rlike(java), F.array(*(F.regexp_extract(text, java, i) for i in range(p.capture_count))))
 
 
@@ -233,7 +242,8 @@ def all_matches(text: Column, pattern: str | Pattern, start=0, end=None, *, over
     p = as_pattern(pattern, **options)
     _, spark_type, _, arrow = kinds(p)
     more = {} if timeout is None else {"timeout": timeout}
-    return exact(text, lambda t, a, b: [record(m, t) for m in matching.each(p, t, a, b, overlapping, **more)], f"array<{spark_type}>", pa.list_(arrow), *ranged(start, end)[1])
+    found = exact(candidates(text, p), lambda t, a, b: [record(m, t) for m in matching.each(p, t, a, b, overlapping, **more)], f"array<{spark_type}>", pa.list_(arrow), *ranged(start, end)[1])
+    return otherwise(found, text, p, F.array().cast(f"array<{spark_type}>"))
 
 
 def all_matches_overlapping(text: Column, pattern: str | Pattern, start=0, end=None, **options) -> Column:
@@ -247,14 +257,16 @@ def all_texts(text: Column, pattern: str | Pattern, *, overlapping: bool = False
     java = None if p.nullable or overlapping else native(p, True, engine)
     if java is None:
         kind, _, arrow, _ = kinds(p)
-        return exact(text, lambda t: [m.string(t) for m in matching.each(p, t, overlapping=overlapping)], f"array<{kind}>", pa.list_(arrow))
+        found = exact(candidates(text, p), lambda t: [m.string(t) for m in matching.each(p, t, overlapping=overlapping)], f"array<{kind}>", pa.list_(arrow))
+        return otherwise(found, text, p, F.array().cast(f"array<{kind}>"))
     return F.regexp_extract_all(text, F.lit(java), F.lit(0))
 
 
 def all_spans(text: Column, pattern: str | Pattern, *, overlapping: bool = False, engine: str | None = None, **options) -> Column:
     """The spans of all matches: array<struct<start,end>>."""
     p = as_pattern(pattern, **options)
-    return exact(text, lambda t: [{"start": m.start, "end": m.end} for m in matching.each(p, t, overlapping=overlapping)], f"array<{SPAN}>", SPANS)
+    found = exact(candidates(text, p), lambda t: [{"start": m.start, "end": m.end} for m in matching.each(p, t, overlapping=overlapping)], f"array<{SPAN}>", SPANS)
+    return otherwise(found, text, p, F.array().cast(f"array<{SPAN}>"))
 
 
 def count_matches(text: Column, pattern: str | Pattern, *, overlapping: bool = False, engine: str | None = None, **options) -> Column:
@@ -262,7 +274,8 @@ def count_matches(text: Column, pattern: str | Pattern, *, overlapping: bool = F
     p = as_pattern(pattern, **options)
     java = None if p.nullable or overlapping else native(p, True, engine)
     if java is None:
-        return exact(text, lambda t: sum(1 for _ in matching.each(p, t, overlapping=overlapping)), "int", pa.int32())
+        found = exact(candidates(text, p), lambda t: sum(1 for _ in matching.each(p, t, overlapping=overlapping)), "int", pa.int32())
+        return otherwise(found, text, p, F.lit(0))
     guard = p.required
     found = F.regexp_count(text, F.lit(java))
     return F.when(text.contains(guard), found).when(text.isNotNull(), 0) if len(guard) >= GUARD else found
@@ -377,7 +390,7 @@ def _replace(text: Column, p: Pattern, replacement, n: int | None, start, end, e
                 rest = F.substr(text, F.length(head) + F.length(found) + 1)
                 return F.when(text.rlike(java), F.concat(head, made, rest)).otherwise(text)
     kind, _, arrow, _ = kinds(p)
-    return exact(text, lambda t, a, b: matching.replace(p, t, replacement, n, start=a, end=b), kind, arrow, *ranged(start, end)[1])
+    return otherwise(exact(candidates(text, p), lambda t, a, b: matching.replace(p, t, replacement, n, start=a, end=b), kind, arrow, *ranged(start, end)[1]), text, p, text)
 
 
 # --- others -------------------------------------------------------------------

@@ -362,7 +362,7 @@ def q42_composition(spark, d):
     return counted.withColumn("place", place.cast("long")).filter("place <= 5").select("lang", "quality", "place", "doc_id", "n")
 
 
-#: The reference's benchmark workloads, on the subjects it names and on whole tables.
+#: Four plain workloads, over whole texts.
 WORKLOADS = {"literal": "needle", "identifier": r"^[A-Za-z_][A-Za-z0-9_]*$", "alternation": "^(cat|dog|fox)+$", "search": "[0-9]{3}[a-z]{5}"}
 
 

@@ -14,7 +14,7 @@ from gristmill.plans.pattern import compile, compile_bytes
 from gristmill.sources import lines
 
 TEXTS = [None, "", "abc", "one,two,", "a1b22c333", "😀cat c2t cAt", "x\n", "\r\nfoo\r\n", "é É ß SS", "Customer#0042", "aaaa", "the then", "tab\tsep", "ſ K", "a,b;c", "$1 \\d {x}"]
-PATTERNS = ["b", "[0-9]+", "c.t", "(a)(1)?", r"\w+", r"\bthe\b", "(?i)é|ſ", "a|aa", ",|;", "^x$", r"\Aone", r"\R", "(?m)^foo$", "(a)b|(c)", "a*", r"(?<=c)a", r"(.)\1", "[^a-z]", r"\p{Lu}", r"\.", r"\Athe then\z"]
+PATTERNS = ["b", "[0-9]+", "c.t", "(a)(1)?", r"\w+", r"\bthe\b", "(?i)é|ſ", "a|aa", ",|;", "^x$", r"\Aone", r"\R", "(?m)^foo$", "(a)b|(c)", "a*", r"(?<=c)a", r"(.)\1", "[^a-z]", r"\p{Lu}", r"\.", r"\Athe then\z", "(?=t)the then", r"one\K,(?:t)wo", "Customer(?>#)[0-9]+"]
 
 
 @pytest.fixture(scope="module")

@@ -34,6 +34,7 @@ def test_engines_agree(source, text):
     assert (thread and thread[:2]) == (back and back.spans[0])
     fast = m.find(p, text)
     assert (fast and fast.spans[0]) == (back and back.spans[0])
+    assert back is None or p.required in text
     longest = m.longest(p, text)
     if longest:
         ends = [e for e in range(longest.start, len(text) + 1) if m.full_match(p, text, longest.start, e)]

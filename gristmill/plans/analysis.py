@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import charset
 from .charset import size
 from .nodes import Alt, Anchor, Atomic, Backref, Call, Callout, Cat, Chars, Cond, Grapheme, Group, Keep, LineBreak, Look, Node, Rep, Verb, walk
 
@@ -160,3 +161,49 @@ def loops_in_frames(root: Node) -> bool:
 def empty_loops(root: Node) -> bool:
     """Is something repeated that can match nothing?  Engines differ there."""
     return any(isinstance(n, Rep) and (n.most is None or n.most > 1) and nullable(n.item) for n in walk(root))
+
+
+def first(node: Node) -> charset.Ranges | None:
+    """The set of what a node's matches start with; None if it can be empty or that is not known."""
+    if isinstance(node, Chars):
+        return node.set
+    if isinstance(node, (Group, Atomic)):
+        return first(node.item)
+    if isinstance(node, Rep):
+        return first(node.item) if node.least else None
+    if isinstance(node, Alt):
+        held = [first(x) for x in node.items]
+        return None if any(h is None for h in held) else charset.union(*held)
+    if isinstance(node, Cat):
+        at = [x for x in node.items if not isinstance(x, (Anchor, Look))]
+        return first(at[0]) if at else None
+    return None
+
+
+def decided(node: Node) -> bool:
+    """Is there one way at most to match a text by rounds of this node, seen one character ahead?"""
+    if isinstance(node, Alt):
+        starts = [first(x) for x in node.items]
+        if any(s is None for s in starts) or any(charset.intersect(a, b) for i, a in enumerate(starts) for b in starts[:i]):
+            return False
+        return all(decided(x) for x in node.items)
+    items = [x for x in flat(node) if not isinstance(x, Anchor)]
+    for i, item in enumerate(items):
+        if isinstance(item, Chars):
+            continue
+        if isinstance(item, Alt) and decided(item):
+            continue
+        if isinstance(item, Rep) and isinstance(item.item, Chars):
+            after = first(Cat(tuple(items[i + 1 :]))) if i + 1 < len(items) else first(Cat(tuple(items)))
+            if item.least == item.most or item.possessive or after is not None and not charset.intersect(after, item.item.set):
+                continue
+        return False
+    return True
+
+
+def explosive(root: Node) -> bool:
+    """Could a backtracking engine without a budget take exponential time?  True unless that is ruled out."""
+    def single(x: Node) -> bool:
+        return isinstance(x, Chars) or isinstance(x, Group) and not x.balance and single(x.item)
+
+    return any(isinstance(n, Rep) and not n.possessive and (n.most is None or n.most > 8) and not single(n.item) and not decided(n.item) for n in walk(root))

@@ -166,7 +166,7 @@ class Python(Emitter):
 
 def to_java(root: Node) -> str:
     """A Java pattern that finds the same matches in whole texts."""
-    if analysis.empty_loops(root) or analysis.loops_in_frames(root):
+    if analysis.empty_loops(root) or analysis.loops_in_frames(root) or analysis.explosive(root):
         raise NotTranslatable("loops")
     return Java().emit(root)
 

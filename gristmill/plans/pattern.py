@@ -125,8 +125,8 @@ class Pattern:
 
     @cached_property
     def python(self) -> re.Pattern | None:
-        """The standard library's form of the pattern, if it is provably equal."""
-        if self.options.callout or self.budgeted:
+        """The standard library's form of the pattern, if it is provably equal and its time is bounded."""
+        if self.options.callout or self.budgeted or analysis.explosive(self.node):
             return None
         try:
             return re.compile(emit.to_python(self.node, self.byte_mode))

@@ -133,7 +133,13 @@ def test_limits():
         compile("(?:a{100}){1000}", size_limit=50_000)
     with pytest.raises(MatchTimeout):
         m.find(compile(r"(?=(a+)+\z)(?=b)a", step_limit=10**9), "a" * 4000, timeout=0.001)
-    assert m.find(compile("(a|aa)+$"), "a" * 300 + "b", timeout=60) is None  # no blow-up
+    for pattern in ("(a|aa)+$", "(a+)+$", "(?:a|a?){20}$", "(?:a*b?)*$", "(a|aa){30}$"):  # no blow-up
+        found = m.find(compile(pattern), "a" * 300 + "c")
+        assert compile(pattern).python is None and compile(pattern).java is None and (found is None or found.start == 301)
+    with pytest.raises(AdvancedLimitError):
+        m.find(compile(r"(a|aa)+\1(?=b)"), "a" * 200 + "c")
+    for pattern in ("(?:[a-z]+,)*", "(?:cat|dog|fox)+", r'"(?:[^"\\]|\\.)*"', "(?:ab)+", "[a-z]+[0-9]+", "(?:,[a-z]+)*"):
+        assert compile(pattern).python is not None
 
 
 ALL = [("a*", "aba", [(0, 1), (2, 3)]), ("a*", "ba", [(0, 0), (1, 2)]), ("a*|b", "ab", [(0, 1), (2, 2)]), ("", "ab", [(0, 0), (1, 1), (2, 2)]), ("", "", [(0, 0)]), ("b|a*?", "ab", [(0, 0), (1, 2)])]

@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 
 from gristmill.operators import matching as m
 from gristmill.operators import sets, vm
-from gristmill.plans.errors import PatternSyntaxError
+from gristmill.plans.errors import AdvancedLimitError, PatternSyntaxError
 from gristmill.plans.pattern import compile, compile_bytes, escape
 
 TEXTS = st.text("ab", max_size=24)
@@ -30,7 +30,10 @@ PATTERNS = st.recursive(st.sampled_from(["a", "b", "[ab]", ".", "ab"]), regular,
 def test_engines_agree(source, text):
     p = compile(source)
     thread = vm.run(p.program, text, 0, len(text))
-    back = m.advanced(p, text)
+    try:
+        back = m.advanced(p, text)
+    except AdvancedLimitError:  # nested loops: told, not taken for no match
+        return
     assert (thread and thread[:2]) == (back and back.spans[0])
     fast = m.find(p, text)
     assert (fast and fast.spans[0]) == (back and back.spans[0])

@@ -84,7 +84,8 @@ def keep_firsts(documents: DataFrame, radius: int = RADIUS) -> DataFrame:
     found = written(documents.sparkSession, near_duplicates(documents.filter("doc_id IS NOT NULL"), radius).select("doc_id", "component_id"), "components")
     firsts = found.filter("doc_id = component_id").groupBy(F.col("doc_id").alias("first_id")).agg(F.count("*").alias("rows"))
     firsts = written(documents.sparkSession, firsts, "firsts")
-    kept = documents.join(firsts, documents["doc_id"] == firsts["first_id"], "left_semi")
+    # The ids grow with the documents: a merge join at every size, no broadcast where they happen to be few.
+    kept = documents.join(firsts.hint("merge"), documents["doc_id"] == firsts["first_id"], "left_semi")
     if firsts.filter("rows > 1").limit(1).count():
         kept = kept.dropDuplicates(["doc_id", "text"])
     return kept.unionByName(documents.filter("doc_id IS NULL"))

@@ -28,7 +28,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 #: Bytes of a chunk, bytes a filter sees, size of a byte's embedding, filters.
 CHUNK, WIDTH, DEPTH, FILTERS = 512, 8, 6, 20
 #: Bounds of the training sample.
-PER_CLASS, TRAIN_CHUNKS, EPOCH_CHUNKS = 1_500, 16, 4
+PER_CLASS, TRAIN_CHUNKS, EPOCH_CHUNKS = 1_500, 16, 3
 #: Filter places that are computed at once.
 BLOCK = 1 << 16
 
@@ -69,7 +69,7 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit(chunks: np.ndarray, places: np.ndarray, owner: np.ndarray, label: np.ndarray, weight: np.ndarray, epochs: int = 16, batch: int = 64, rate: float = 0.01, seed: int = 7) -> Net:
+def fit(chunks: np.ndarray, places: np.ndarray, owner: np.ndarray, label: np.ndarray, weight: np.ndarray, epochs: int = 12, batch: int = 64, rate: float = 0.01, seed: int = 7) -> Net:
     """Adam on weighted log loss.  ``chunks`` (n x CHUNK bytes, filled up with zeros after ``places`` filter places) belong to texts ``owner``, in order.
 
     An epoch takes at most EPOCH_CHUNKS chunks of a text, others each time.
@@ -94,7 +94,7 @@ def fit(chunks: np.ndarray, places: np.ndarray, owner: np.ndarray, label: np.nda
             share = 1.0 / many[held]
             data = chunks[rows]
             seen = np.ascontiguousarray(windows(net, data))  # n x places x WIDTH*DEPTH
-            out = seen @ net.kernel
+            out = (seen.reshape(-1, WIDTH * DEPTH) @ net.kernel).reshape(*seen.shape[:2], FILTERS)
             out[np.arange(out.shape[1]) >= places[rows, None]] = -np.inf  # only what the text has
             where = out.argmax(axis=1)
             pooled = np.take_along_axis(out, where[:, None, :], axis=1)[:, 0, :] + net.bias

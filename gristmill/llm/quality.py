@@ -4,14 +4,17 @@ A text's UTF-8 bytes are embedded and convolved with learned filters over overla
 chunks that cover the whole text; each filter is max-pooled over a chunk, the chunks'
 pooled features are averaged, and a logistic unit turns them into one probability.
 
-Training is on the driver, on a bounded sample of labelled rows (``per_class`` of each
-label, by a hash of doc_id; at most ``train_chunks`` chunks spread evenly over a text).
-Scoring reads every byte of every text on the executors, in blocks of bounded size.
+Training is on the driver, on a sample of labelled rows that is bounded in rows and in
+bytes: of each label, rows in the order of a hash of doc_id, at most ``per_class`` of
+them, taken while their texts together stay within ``class_bytes``.  Every epoch learns
+from every byte of every sampled text.  Scoring reads every byte of every text on the
+executors.  Both work in blocks of bounded size.
 
 Defined cases: null and empty texts are scored as a run of zero bytes; a row whose
 doc_id is null is scored and never learned from; a label is used once for each doc_id
 (the smallest); null labels are not used.  No usable label: every score is 0.5; one
-class only: the scores are that class's share.  Other columns are ignored.
+class only: the scores are that class's share.  A text longer than ``class_bytes`` is
+never in the sample, and scored like any other.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,16 +24,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 #: Bytes of a chunk, bytes a filter sees, size of a byte's embedding, filters.
 CHUNK, WIDTH, DEPTH, FILTERS = 512, 8, 6, 20
-#: Bounds of the training sample.
-PER_CLASS, TRAIN_CHUNKS, EPOCH_CHUNKS = 1_500, 16, 3
+STEP = CHUNK - WIDTH + 1
+#: Bounds of the training sample, for each label: rows, and bytes of their texts.
+PER_CLASS, CLASS_BYTES = 1_500, 64 << 20
 #: Filter places that are computed at once.
-BLOCK = 1 << 16
+BLOCK = 1 << 14
 
 
 @dataclass
@@ -55,7 +59,7 @@ def features(net: Net, data: np.ndarray) -> np.ndarray:
     """Max-pooled filters, averaged over the chunks of one text."""
     if len(data) < WIDTH:
         data = np.concatenate([data, np.zeros(WIDTH - len(data), np.uint8)])
-    places, step = len(data) - WIDTH + 1, CHUNK - WIDTH + 1
+    places, step = len(data) - WIDTH + 1, STEP
     total, block = np.zeros(FILTERS), BLOCK // step * step
     for lo in range(0, places, block):
         hi = min(places, lo + block)
@@ -69,17 +73,51 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit(chunks: np.ndarray, places: np.ndarray, owner: np.ndarray, label: np.ndarray, weight: np.ndarray, epochs: int = 12, batch: int = 64, rate: float = 0.01, seed: int = 7) -> Net:
-    """Adam on weighted log loss.  ``chunks`` (n x CHUNK bytes, filled up with zeros after ``places`` filter places) belong to texts ``owner``, in order.
-
-    An epoch takes at most EPOCH_CHUNKS chunks of a text, others each time.
-    """
+def cut(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start in data, filter places, first chunk of each text and the end) of the chunks that cover all texts, WIDTH bytes long at least."""
+    places = np.diff(offsets) - WIDTH + 1
+    first = np.concatenate([[0], np.cumsum(-(-places // STEP))])
+    nth = np.arange(first[-1]) - np.repeat(first[:-1], np.diff(first))
+    return np.repeat(offsets[:-1], np.diff(first)) + nth * STEP, np.minimum(STEP, np.repeat(places, np.diff(first)) - nth * STEP), first
+
+
+def pooled_chunks(net: Net, data: np.ndarray, start: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each chunk's largest response of each filter, and the place in ``data`` that has it; a block of chunks at a time."""
+    best, where = np.empty((len(start), FILTERS), np.float32), np.empty((len(start), FILTERS), np.int64)
+    for lo in range(0, len(start), BLOCK // STEP):
+        s, n = start[lo : lo + BLOCK // STEP], places[lo : lo + BLOCK // STEP]
+        seen = windows(net, data[s[:, None] + np.minimum(np.arange(CHUNK), n[:, None] + WIDTH - 2)])
+        out = (net.kernel.T @ np.ascontiguousarray(seen).reshape(-1, WIDTH * DEPTH).T).reshape(FILTERS, len(s), STEP)
+        for i in np.flatnonzero(n < STEP):  # only what the text has
+            out[:, i, n[i] :] = -np.inf
+        at = out.argmax(axis=2)
+        best[lo : lo + len(s)] = np.take_along_axis(out, at[:, :, None], axis=2)[:, :, 0].T
+        where[lo : lo + len(s)] = s[:, None] + at.T
+    return best + net.bias, where
+
+
+def gradients(net: Net, data: np.ndarray, where: np.ndarray, back: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of embedding and kernel, from the chosen places and the slopes there; a block of chunks at a time."""
+    grad_embed, grad_kernel = np.zeros_like(net.embed), np.zeros_like(net.kernel)
+    for lo in range(0, len(where), BLOCK // STEP * 8):
+        touched = data[where[lo : lo + BLOCK // STEP * 8, :, None] + np.arange(WIDTH)]  # n x FILTERS x WIDTH
+        slope = back[lo : lo + BLOCK // STEP * 8]
+        under = net.embed[touched].reshape(*touched.shape[:2], WIDTH * DEPTH)
+        grad_kernel += np.stack([slope[:, f] @ under[:, f] for f in range(FILTERS)], axis=1)
+        down = (slope[:, :, None] * net.kernel.T[None]).reshape(-1, DEPTH)
+        byte = touched.reshape(-1)
+        grad_embed += np.stack([np.bincount(byte, down[:, d], 256) for d in range(DEPTH)], axis=1).astype(np.float32)
+    return grad_embed, grad_kernel
+
+
+def fit(data: np.ndarray, offsets: np.ndarray, label: np.ndarray, weight: np.ndarray, epochs: int = 6, batch: int = 16, rate: float = 0.01, seed: int = 7) -> Net:
+    """Adam on weighted log loss over texts data[offsets[i] : offsets[i + 1]], each of WIDTH bytes at least; an epoch reads all of them whole."""
     rng = np.random.default_rng(seed)
     normal = lambda *shape: rng.normal(size=shape).astype(np.float32)
     net = Net(normal(256, DEPTH) * 0.5, normal(WIDTH * DEPTH, FILTERS) / np.sqrt(WIDTH * DEPTH), np.zeros(FILTERS, np.float32), normal(FILTERS) * 0.1, np.zeros(1, np.float32))
     prior = float((weight * label).sum() / weight.sum())
     net.offset[0] = np.log(prior / (1 - prior))
-    first = np.searchsorted(owner, np.arange(len(label) + 1))
+    start, places, first = cut(data, offsets)
     mean = [np.zeros_like(a) for a in net.arrays()]
     var = [np.zeros_like(a) for a in net.arrays()]
     step = 0
@@ -88,28 +126,15 @@ def fit(chunks: np.ndarray, places: np.ndarray, owner: np.ndarray, label: np.nda
         speed = rate * (0.5 * (1 + np.cos(np.pi * epoch / epochs)) + 0.02)
         for lo in range(0, len(order), batch):
             docs = order[lo : lo + batch]
-            many = np.minimum(first[docs + 1] - first[docs], EPOCH_CHUNKS)
-            rows = np.concatenate([first[d] + rng.permutation(first[d + 1] - first[d])[:n] for d, n in zip(docs, many)])
-            held = np.repeat(np.arange(len(docs)), many)
-            share = 1.0 / many[held]
-            data = chunks[rows]
-            seen = np.ascontiguousarray(windows(net, data))  # n x places x WIDTH*DEPTH
-            out = (seen.reshape(-1, WIDTH * DEPTH) @ net.kernel).reshape(*seen.shape[:2], FILTERS)
-            out[np.arange(out.shape[1]) >= places[rows, None]] = -np.inf  # only what the text has
-            where = out.argmax(axis=1)
-            pooled = np.take_along_axis(out, where[:, None, :], axis=1)[:, 0, :] + net.bias
-            active = np.maximum(pooled, 0)
-            feats = np.zeros((len(docs), FILTERS))
-            np.add.at(feats, held, active * share[:, None])
+            many = first[docs + 1] - first[docs]
+            rows = np.concatenate([np.arange(first[d], first[d + 1]) for d in docs])
+            edge = np.cumsum(many) - many
+            pooled, where = pooled_chunks(net, data, start[rows], places[rows])
+            feats = np.add.reduceat(np.maximum(pooled, 0), edge, axis=0) / many[:, None]
             chance = sigmoid(feats @ net.head + net.offset[0])
             slope = (chance - label[docs]) * weight[docs] / weight[docs].sum()
-            back = (slope[held] * share)[:, None] * net.head[None, :] * (pooled > 0)  # n x FILTERS
-            under = seen[np.arange(len(rows))[:, None], where]  # n x FILTERS x WIDTH*DEPTH
-            down = back[:, :, None] * net.kernel.T[None]  # to the embedded bytes
-            grad_embed = np.zeros_like(net.embed)
-            touched = data[np.arange(len(rows))[:, None, None], where[:, :, None] + np.arange(WIDTH)]
-            np.add.at(grad_embed, touched.reshape(-1), down.reshape(-1, DEPTH).astype(np.float32))
-            grads = [grad_embed, np.einsum("nf,nfk->kf", back, under), back.sum(axis=0), feats.T @ slope + 1e-3 * net.head, np.array([slope.sum()])]
+            back = (np.repeat(slope / many, many)[:, None] * net.head[None, :] * (pooled > 0)).astype(np.float32)  # chunks x FILTERS
+            grads = [*gradients(net, data, where, back), back.sum(axis=0), feats.T @ slope + 1e-3 * net.head, np.array([slope.sum()])]
             step += 1
             for a, g, m, v in zip(net.arrays(), grads, mean, var, strict=True):
                 m += 0.1 * (g - m)
@@ -126,27 +151,12 @@ def as_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), offsets
 
 
-def sample_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """At most TRAIN_CHUNKS chunks, evenly spread over each text."""
-    for batch in batches:
-        data, at = as_bytes(batch.column("text"))
-        out, sizes = [], []
-        for lo, hi in zip(at, at[1:]):
-            text = data[lo:hi]
-            starts = np.arange(0, max(1, len(text) - WIDTH + 1), CHUNK - WIDTH + 1)
-            if len(starts) > TRAIN_CHUNKS:
-                starts = starts[np.linspace(0, len(starts) - 1, TRAIN_CHUNKS).astype(int)]
-            sizes.append([min(CHUNK, max(WIDTH, len(text) - s)) - WIDTH + 1 for s in starts])
-            out.append(b"".join(text[s : s + CHUNK].tobytes().ljust(CHUNK, b"\0") for s in starts))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array(out, pa.binary()), pa.array(sizes, pa.list_(pa.int32()))], ["doc_id", "quality", "chunks", "places"])
-
-
 def in_fold(doc_id: str = "doc_id"):
     """crc32 of the id as text, modulo 5."""
     return F.crc32(F.col(doc_id).cast("string")) % 5
 
 
-def train(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Net | float:
+def train(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, class_bytes: int = CLASS_BYTES) -> Net | float:
     """A net, or a constant score where the labels leave nothing to learn."""
     usable = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & (in_fold() != 0)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("quality"))
     counts = {r["quality"]: r["count"] for r in usable.groupBy("quality").count().collect()}
@@ -154,16 +164,17 @@ def train(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -
         return float(next(iter(counts), 0.5))
     some = [usable.filter(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for q in (0, 1)]
     # At most 2 * per_class rows: a fixed bound.
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(some[0].union(some[1])), "doc_id").select("doc_id", "quality", "text")
-    taken = rows.mapInArrow(sample_chunks, "doc_id long, quality int, chunks binary, places array<int>").dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("text")).join(F.broadcast(some[0].union(some[1])), "doc_id").select("doc_id", "quality", "text")
+    rows = rows.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("text").alias("text"))
+    so_far = F.sum(F.octet_length("text")).over(Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    taken = rows.withColumn("__bytes", so_far).filter(F.col("__bytes") <= class_bytes).select("doc_id", "quality", "text").toArrow().sort_by("doc_id")
     label = taken.column("quality").to_numpy().astype(np.float64)
     if len(set(label)) < 2:
         return float(label[0]) if len(label) else 0.5
-    held = [np.frombuffer(x, np.uint8).reshape(-1, CHUNK) for x in taken.column("chunks").to_pylist()]
-    owner = np.repeat(np.arange(len(held)), [len(x) for x in held])
+    texts = [t.ljust(WIDTH, b"\0") for t in taken.column("text").to_pylist()]
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
     weight = np.where(label == 1, counts[1] / (label == 1).sum(), counts[0] / (label == 0).sum())
-    places = np.concatenate([np.array(x, np.int64) for x in taken.column("places").to_pylist()])
-    return fit(np.concatenate(held), places, owner, label, weight / weight.mean())
+    return fit(np.frombuffer(b"".join(texts), np.uint8), offsets, label, weight / weight.mean())
 
 
 def score_documents(documents: DataFrame, model: Net | float, out: str = "score") -> DataFrame:

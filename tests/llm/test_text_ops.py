@@ -1,5 +1,6 @@
 """Tokens, pieces, packing, counts, pages and quality."""
 
+import os
 import random
 import zlib
 
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from gristmill.llm import html, packing, pieces, quality, tokencounts
 from gristmill.llm.common import shared_path
-from gristmill.llm.queries import vocabulary
+from gristmill.llm.queries import op4_quality, vocabulary
 from gristmill.llm.tokens import encoder
 
 ODD = ["", " ", "a", "Hello  world\n\n x", "<|endoftext|> in <|endoftext|>text", "日本語 テスト 漢字龘", "é" * 40, "\t\r\n ", "don't we'll 12345 !!", "𐍈𐍈 ​\xa0x", "a" * 5000, " " * 3000, "\x00\x01"]
@@ -194,6 +195,89 @@ def test_quality(spark):
     assert small == pytest.approx(quality.features(model, np.frombuffer(end.encode(), np.uint8)), rel=1e-4)
 
 
+def plain_features(net, data):
+    """The network by loops over chunks, places and filters, as its definition has it."""
+    data = bytes(data) + b"\0" * (quality.WIDTH - len(data))
+    total, chunks = np.zeros(quality.FILTERS), 0
+    for lo in range(0, len(data) - quality.WIDTH + 1, quality.CHUNK - quality.WIDTH + 1):
+        chunk, best = data[lo : lo + quality.CHUNK], np.full(quality.FILTERS, -np.inf)
+        for i in range(len(chunk) - quality.WIDTH + 1):
+            seen = np.concatenate([net.embed[b] for b in chunk[i : i + quality.WIDTH]]).astype(np.float64)
+            best = np.maximum(best, seen @ net.kernel)
+        total += np.maximum(best + net.bias, 0)
+        chunks += 1
+    return total / chunks
+
+
+def small_net(seed=2):
+    rng = np.random.default_rng(seed)
+    normal = lambda *shape: rng.normal(size=shape).astype(np.float32)
+    return quality.Net(normal(256, quality.DEPTH), normal(quality.WIDTH * quality.DEPTH, quality.FILTERS), normal(quality.FILTERS), normal(quality.FILTERS), normal(1))
+
+
+@pytest.mark.parametrize("size", [0, 1, 7, 8, 9, 511, 512, 513, 1016, 1017, 1018, 3000])
+def test_quality_features_by_loops(size, monkeypatch):
+    net, data = small_net(), np.random.default_rng(size).integers(0, 256, size).astype(np.uint8)
+    monkeypatch.setattr(quality, "BLOCK", 1100)
+    assert quality.features(net, data) == pytest.approx(plain_features(net, data), rel=1e-4, abs=1e-4)
+
+
+def test_quality_training_reads_whole_texts(monkeypatch):
+    """The pooled responses that training sees are those of every chunk, and its gradients are the loss's slopes."""
+    net, rng = small_net(), np.random.default_rng(0)
+    texts = [rng.integers(0, 256, n).astype(np.uint8) for n in (8, 700, 40_000, 505, 2_000)]
+    data, offsets = np.concatenate(texts), np.cumsum([0, *map(len, texts)])
+    start, places, first = quality.cut(data, offsets)
+    monkeypatch.setattr(quality, "BLOCK", 2_020)
+    pooled, where = quality.pooled_chunks(net, data, start, places)
+    assert places.sum() == sum(len(t) - quality.WIDTH + 1 for t in texts)  # every place of every text, once
+    for i, t in enumerate(texts):
+        got = np.maximum(pooled[first[i] : first[i + 1]], 0).mean(axis=0)
+        assert got == pytest.approx(quality.features(net, t), rel=1e-4, abs=1e-4)
+    grad_embed, grad_kernel = quality.gradients(net, data, where, np.ones_like(pooled))
+    for name, grad in (("embed", grad_embed), ("kernel", grad_kernel)):
+        held = getattr(net, name)
+        at = np.unravel_index(np.abs(grad).argmax(), grad.shape)
+        loss = lambda: float(np.take_along_axis(quality.windows(net, data).astype(np.float64) @ net.kernel.astype(np.float64), where, axis=0).sum())
+        before, old = loss(), held[at].copy()
+        held[at] += 0.01
+        assert (loss() - before) / 0.01 == pytest.approx(grad[at], rel=1e-2)
+        held[at] = old
+
+
+def test_quality_learns_from_every_part(spark):
+    """Texts that differ in one short passage, near the end of many chunks, are told apart."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("aeiourstln") for _ in range(rng.randint(2, 8)))
+    base = lambda n: " ".join(word() for _ in range(n))
+    texts = [base(1_600) + (" " + "QXZ9 " * 100 if i % 2 else " ") + base(30) for i in range(160)]
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(160)], "doc_id long, quality int")
+    got = quality.score_documents(docs(spark, texts), quality.train(docs(spark, texts), labels)).collect()
+    order = sorted(got, key=lambda r: r.score)
+    assert np.mean([r.doc_id % 2 for r in order[:80]]) > 0.9
+
+
+def test_quality_sample_bounds(spark, monkeypatch):
+    """Bounded in rows and bytes; whole texts only, those within the bounds."""
+    df = docs(spark, ["good text " * 5] * 20 + ["BAD!!" * 10] * 20 + ["x" * 5_000] * 4)
+    labels = spark.createDataFrame([(i, int(i < 20)) for i in range(44)], "doc_id long, quality int")
+    seen = {}
+    monkeypatch.setattr(quality, "fit", lambda data, offsets, label, weight: seen.update(sizes=np.diff(offsets).tolist(), label=label.tolist()) or 0.5)
+    quality.train(df, labels, per_class=6, class_bytes=200)
+    assert seen["label"].count(1) in range(1, 7) and set(seen["sizes"]) <= {50} and sum(s for s, q in zip(seen["sizes"], seen["label"]) if q) <= 200
+    quality.train(df, labels)
+    assert sorted(seen["sizes"])[-1] == 5_000 and seen["label"].count(1) + seen["label"].count(0) == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(44))
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="the tables are not here")
+def test_quality_held_out(spark):
+    folder = "/root/testdata/sf0.01"
+    rows = op4_quality(spark, folder).join(spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", "quality"), "doc_id").filter("held_out AND quality IS NOT NULL").collect()
+    good, poor = [r.score for r in rows if r.quality], [r.score for r in rows if not r.quality]
+    assert np.mean([(g > p) + 0.5 * (g == p) for g in good for p in poor]) > 0.95
+    assert all(r.predicted == int(r.score >= 0.3) for r in rows)
+
+
 def test_labels_of_other_folds_are_not_learned(spark):
     df = docs(spark, ["a b c"] * 50)
     held = spark.createDataFrame([(i, i % 2) for i in range(50)], "doc_id long, quality int").filter(quality.in_fold() == 0)

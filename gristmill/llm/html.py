@@ -2,12 +2,22 @@
 
 A page is read as a sequence of blocks; each has the path of tags (and classes) from
 the root.  For every path the length of its texts, their punctuation and the share of
-linked text are added up over the page; a path's text ratio (characters for each
-block) and punctuation ratio are smoothed over the paths of the same container and
-fused into one score, a share of the page's best, to which structure adds: a path
-inside a container that the page names as its main one (article, main) gains 1, one
-outside it loses 1.  Paths whose score reaches a threshold are content.  Paths through
-tags or classes that never hold main text (fixed lists below) have no score.
+linked text are added up over the page.  A path's ratio is its characters for each
+block, times one more than its punctuation marks for each block, times its share of
+text that is not linked.  Three steps turn ratios into a selection:
+
+1. Fuse: the ratio is weighted by what the path's tags and names hint at (MAIN_GAIN
+   inside a container that the page calls its main one; NOISE_TAG, NOISE_NAME inside
+   elements that by tag or name rarely hold main text).  Hints are factors, so a ratio
+   that is strong enough overrules them: an article in a box called "widget", a page
+   that stands in one form, or text that is not in the page's ``<article>``.
+2. Smooth: the page's content container is the deepest path that holds most of the
+   fused score.  Inside it a path's score is averaged with the container's (so short
+   headings and list items go with the paragraphs around them), outside with nothing.
+3. Threshold: paths whose score reaches a share of the page's best are content.  Text
+   from elements of the fixed noise lists is only taken if there are NOISE_CHARS of it.
+
+Elements of one path share their fate, wherever on the page they stand.
 
 Defined cases: null and empty html, and pages without content, give the empty text.
 Unclosed and misplaced tags are read leniently; a cut-off page is read as far as it
@@ -21,6 +31,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 from html import unescape
 
 import pyarrow as pa
@@ -35,34 +46,41 @@ BLOCKS = frozenset(
 )
 #: A start tag closes an open element of these, up to one of the bounds.
 CLOSES = {"li": (("li",), ("ul", "ol", "menu", "dir")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr", "td", "th"), ("table", "thead", "tbody", "tfoot")), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "option": (("option",), ("select",))}
-# Tags, and words of classes, ids and roles, that hold no main text, or hold it.
-NEVER = frozenset("nav header footer aside form script style noscript template iframe button input select textarea head title dialog menu svg math object".split())
-NEVER_NAMED = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments comment-list commentlist cookie cookies consent disqus footer header login menu modal nav navbar navigation newsletter notice pagination popup promo promoted related replies respond share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget banner contentinfo complementary alert".split()
+# Tags, and words of classes, ids and roles, that rarely hold main text, or mostly do.
+NOISE_TAGS = frozenset("nav header footer aside form button input dialog menu head".split())
+NOISE_NAMES = frozenset(
+    "ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments comment-list commentlist cookie cookies consent disqus footer header login menu modal nav navbar navigation newsletter notice pagination popup promo promoted related replies respond share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget contentinfo complementary alert".split()
 )
-MAIN = frozenset(("article", "main"))
-MAIN_NAMED = frozenset(("main", "article", "article-body", "articlebody", "entry-content", "post-content"))
+MAIN_TAGS = frozenset(("article", "main"))
+MAIN_NAMES = frozenset(("main", "article", "article-body", "articlebody", "entry-content", "post-content"))
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']+|"[^"]*"|'[^']*')*+[^>]*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)""", re.S)
 NAMED = re.compile(r"""(?:^|[\s"'/])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 PUNCTUATION = re.compile(r"[.,;:!?…。、，！？؟¿¡]")
-#: Share of the best score that a path needs where the page names no main container.
-THRESHOLD = 0.25
+#: Factors of the hints.
+MAIN_GAIN, NOISE_TAG, NOISE_NAME = 2.0, 0.05, 0.15
+#: Share of the fused score that the content container holds, share of the best score that a path needs.
+HELD, THRESHOLD = 0.8, 0.25
+#: Least characters of main text from noisy elements.
+NOISE_CHARS = 200
 
+Path = tuple[str, ...]
 
-def blocks(html: str) -> Iterator[tuple[tuple[str, ...], bool, bool, list[str], int]]:
-    """(path, allowed, in main, pieces of text, linked characters) of each block in order."""
-    # Open elements: (tag, path, allowed, main).
-    stack: list[tuple[str, tuple[str, ...], bool, bool]] = [("", (), True, False)]
+
+def blocks(html: str) -> Iterator[tuple[Path, float, list[str], int]]:
+    """(path, factor of its hints, pieces of text, linked characters) of each block in order."""
+    # Open elements: (tag, path, factor of the noise around, in main).
+    stack: list[tuple[str, Path, float, bool]] = [("", (), 1.0, False)]
     text: list[str] = []
     links = linked = 0
     at = 0
 
-    def block() -> tuple[tuple[str, ...], bool, bool, list[str], int]:
+    def block() -> tuple[Path, float, list[str], int]:
         depth = len(stack) - 1
         while depth and stack[depth][0] not in BLOCKS:
             depth -= 1
-        return (*stack[depth][1:], text, linked)
+        _, path, noise, main = stack[depth]
+        return path, noise * (MAIN_GAIN if main else 1.0), text, linked
 
     size = len(html)
     while at < size:
@@ -113,51 +131,71 @@ def blocks(html: str) -> Iterator[tuple[tuple[str, ...], bool, bool, list[str],
             at = end.end()
             continue
         names = [w for m in NAMED.finditer(found[3]) for w in (m[2] or m[3] or m[4] or "").lower().split()]
-        _, path, allowed, main = stack[-1]
-        allowed = allowed and tag not in NEVER and not NEVER_NAMED.intersection(names)
-        main = main or tag in MAIN or not MAIN_NAMED.isdisjoint(names)
-        stack.append((tag, (*path, ".".join([tag, *names])) if tag in BLOCKS else path, allowed, main))
+        _, path, noise, main = stack[-1]
+        noise *= NOISE_TAG if tag in NOISE_TAGS else NOISE_NAME if NOISE_NAMES.intersection(names) else 1.0
+        main = main or tag in MAIN_TAGS or not MAIN_NAMES.isdisjoint(names)
+        stack.append((tag, (*path, ".".join([tag, *names])) if tag in BLOCKS else path, noise, main))
         links += tag == "a"
     if text:
         yield block()
 
 
+@dataclass
+class Sums:
+    """What a path's blocks add up to."""
+
+    hint: float
+    chars: int = 0
+    marks: int = 0
+    linked: int = 0
+    many: int = 0
+
+    def ratio(self) -> float:
+        return self.chars / self.many * (1 + self.marks / self.many) * (1 - self.linked / self.chars)
+
+
 def extract(html: str | None) -> str:
     """The main text of one page."""
-    rows = []
-    sums: dict[tuple[str, ...], list[float]] = defaultdict(lambda: [0, 0, 0, 0])
-    named: dict[tuple[str, ...], bool] = {}
-    for path, allowed, main, pieces, linked in blocks(html or ""):
+    rows: list[tuple[Path, str]] = []
+    sums: dict[Path, Sums] = {}
+    for path, hint, pieces, linked in blocks(html or ""):
         text = " ".join(unescape("".join(pieces)).split())
-        if not text or not allowed:
+        if not text:
             continue
         rows.append((path, text))
-        named[path] = main
-        held = sums[path]
-        held[0] += len(text)
-        held[1] += len(PUNCTUATION.findall(text))
-        held[2] += min(linked, len(text))
-        held[3] += 1
-    scores = fused(sums, named)
-    return "\n".join(text for path, text in rows if scores[path] >= THRESHOLD)
-
-
-def fused(sums: dict[tuple[str, ...], list[float]], named: dict[tuple[str, ...], bool]) -> dict[tuple[str, ...], float]:
-    """Each path's score, from (characters, punctuation, linked characters, blocks) and whether it is in a named main container."""
-    around: dict[tuple[str, ...], list[float]] = defaultdict(lambda: [0, 0, 0, 0])
-    for path, held in sums.items():
-        for i, v in enumerate(held):
-            around[path[:-1]][i] += v
-
-    def ratio(path: tuple[str, ...]) -> float:
-        own, near = sums[path], around[path[:-1]]
-        mean = lambda i: 0.5 * own[i] / own[3] + 0.5 * near[i] / near[3]  # noqa: E731  smoothed over the container
-        return mean(0) * (1 + mean(1)) * max(0.0, 1 - mean(2) / mean(0))
-
-    ratios = {path: ratio(path) for path in sums}
-    best = max(ratios.values(), default=0) or 1
-    lean = 1 if any(named.values()) else 0
-    return {path: r / best + (lean if named[path] else -lean) for path, r in ratios.items()}
+        held = sums.setdefault(path, Sums(hint))
+        held.hint = max(held.hint, hint)  # inline elements' hints may differ
+        held.chars += len(text)
+        held.marks += len(PUNCTUATION.findall(text))
+        held.linked += min(linked, len(text))
+        held.many += 1
+    chosen = content_paths(sums)
+    return "\n".join(text for path, text in rows if path in chosen)
+
+
+def container(sums: dict[Path, Sums], fused: dict[Path, float]) -> Path:
+    """The deepest path that holds HELD of the fused score of all blocks."""
+    mass: dict[Path, float] = defaultdict(float)
+    for path, score in fused.items():
+        for depth in range(len(path)):  # proper prefixes: a container has blocks in it
+            mass[path[:depth]] += score * sums[path].many
+    whole = mass.get((), 0.0)
+    return max((p for p, m in mass.items() if m >= HELD * whole), key=len, default=())
+
+
+def content_paths(sums: dict[Path, Sums]) -> set[Path]:
+    """The paths whose smoothed score reaches the threshold."""
+    ratio = {path: held.ratio() for path, held in sums.items()}
+    fused = {path: ratio[path] * held.hint for path, held in sums.items()}
+    around = container(sums, fused)
+    inside = {path for path in sums if path[: len(around)] == around and (len(path) > len(around) or not around)}
+    chars = sum(sums[p].chars for p in inside)
+    mean = sum(ratio[p] * sums[p].chars for p in inside) / chars if chars else 0.0
+    score = {p: (fused[p] + (held.hint * mean * (1 - held.linked / held.chars) if p in inside else 0)) / 2 for p, held in sums.items()}
+    best = max(score.values(), default=0.0)
+    chosen = {p for p, x in score.items() if x > 0 and x >= THRESHOLD * best}
+    noisy = {p for p in chosen if sums[p].hint < 1}
+    return chosen - noisy if sum(sums[p].chars for p in noisy) < NOISE_CHARS else chosen
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:

@@ -86,11 +86,13 @@ def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_pages(table(spark, sf_dir, "pages"))
 
 
+# What surrounds the text goes, wherever it stands: head, comments, menus, footers, forms, adverts.
 OP6_SQL = r"""
 WITH a AS (
-  SELECT page_id, url, regexp_extract(regexp_replace(coalesce(html, ''), '[ \t\n\r\f]+', ' ', 'g'), '<article>(.*)</article>', 1) AS x FROM pages),
+  SELECT page_id, url, regexp_replace(regexp_replace(coalesce(html, ''), '[ \t\n\r\f]+', ' ', 'g'),
+    '(?i)<!--.*?-->|<!doctype[^>]*>|<head\b.*?</head>|<nav\b.*?</nav>|<footer\b.*?</footer>|<form\b.*?</form>|<div class="ad">.*?</div>', chr(10), 'g') AS x FROM pages),
 b AS (
-  SELECT page_id, url, string_split(regexp_replace(regexp_replace(regexp_replace(x, '</?(p|h1)>', chr(10), 'g'), '<br>', ' ', 'g'), '<[^>]*>', '', 'g'), chr(10)) AS blocks FROM a),
+  SELECT page_id, url, string_split(regexp_replace(regexp_replace(regexp_replace(x, '<br>', ' ', 'g'), '</?(p|h[1-6]|li|div|article|body|html)\b[^>]*>', chr(10), 'g'), '<[^>]*>', '', 'g'), chr(10)) AS blocks FROM a),
 c AS (
   SELECT page_id, url, list_filter(list_transform(blocks, lambda t: trim(regexp_replace(
     replace(replace(replace(replace(replace(regexp_replace(t, '&amp$', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&'), ' +', ' ', 'g'))), lambda t: t <> '') AS blocks FROM b)

@@ -2,6 +2,7 @@
 
 import os
 import random
+import re
 import zlib
 
 import numpy as np
@@ -164,6 +165,69 @@ def test_html(page, want):
     assert html.extract(page) == want
 
 
+def labelled_pages(seed=9, many=60):
+    """(html, main text, layout): pages without article or main, some with misleading names, built around known texts."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("aeiourstlnmd") for _ in range(rng.randint(2, 9)))
+    sentence = lambda: " ".join(word() for _ in range(rng.randint(6, 18))).capitalize() + rng.choice([".", ".", "?", ", so."])
+    para = lambda: " ".join(sentence() for _ in range(rng.randint(2, 6)))
+    title = lambda: " ".join(word() for _ in range(rng.randint(2, 6))).capitalize()
+    links = lambda n: "".join(f"<li><a href='/{word()}'>{word()} {word()}</a></li>" for _ in range(n))
+    for i in range(many):
+        head, paras, items = title(), [para() for _ in range(rng.randint(4, 12))], [title() for _ in range(3)]
+        body = f"<h1>{head}</h1>" + "".join(f"<p>{p}</p>" for p in paras[:-1]) + "<h2>Also</h2><ul>" + "".join(f"<li>{x}</li>" for x in items) + f"</ul><p>{paras[-1]}</p>"
+        want = "\n".join([head, *paras[:-1], "Also", *items, paras[-1]])
+        top, foot = f"<div><ul>{links(8)}</ul></div>", f"<div><div>{title()}</div><div>{title()} 2024</div></div>"
+        note = f"<div class='cookie'><p>{sentence()}</p></div>"
+        said = "".join(f"<div><p>{sentence()}</p></div>" for _ in range(6))
+        layout = ("plain", "widget", "form", "comments", "alert", "table")[i % 6]
+        page = {
+            "plain": f"{top}<div id='c1'>{body}</div>{note}{foot}",
+            "widget": f"{top}<div class='widget related'>{body}</div>{foot}",
+            "form": f"<form action='/x'>{top}<div id='c2'>{body}</div>{note}{foot}<input name=q></form>",
+            "comments": f"{top}<div class='text'>{body}</div><div class='comments'>{said}</div>{foot}",
+            "alert": f"{top}<div><div class='alert social'>{body}</div></div>{foot}",
+            "table": f"<table><tr><td>{top}</td><td>{body}</td></tr><tr><td>{foot}</td></tr></table>",
+        }[layout]
+        yield f"<html><head><title>{head}</title></head><body>{page}</body></html>", want, layout
+
+
+def quality_of(pages):
+    """Precision and recall over blocks."""
+    got = [(set(html.extract(page).split("\n")), set(want.split("\n"))) for page, want, _ in pages]
+    hits = sum(len(g & w) for g, w in got)
+    return hits / max(1, sum(len(g) for g, _ in got)), hits / sum(len(w) for _, w in got)
+
+
+def test_html_without_main_containers(monkeypatch):
+    pages = list(labelled_pages())
+    for layout in ("plain", "widget", "form", "comments", "alert", "table"):
+        precision, recall = quality_of([p for p in pages if p[2] == layout])
+        assert precision >= (0.85 if layout == 'table' else 0.95) and recall >= 0.97, (layout, precision, recall)  # the table's cells have one path
+    monkeypatch.setattr(html.Sums, "ratio", lambda self: 1.0)  # it is the ratios that select
+    precision, recall = quality_of(pages)
+    assert precision < 0.75
+
+
+def test_html_hints_are_no_veto():
+    text = "A long sentence, with marks, that goes on for a while. And another one; of some length, too. " * 3
+    inside, outside = f"<div class='banner'><p>{text}</p><p>{text}</p></div>", "<article><p>Tiny</p></article>"
+    assert html.extract(inside + outside).startswith("A long") and "Tiny" not in html.extract(inside + outside)
+    assert html.extract(f"<div class='ad'><p>{text[:90]}</p></div>") == ""  # too little to overrule its name
+    assert html.extract(f"<article><p>{text}</p><div class='comments'><p>{text}</p></div></article>") == text.strip()
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="the tables are not here")
+def test_html_ratios_alone_on_the_table():
+    """The pages' own elements renamed to plain divs: nothing but ratios is left, and they find the text."""
+    import pyarrow.dataset as ds
+
+    pages = [x or "" for x in ds.dataset("/root/testdata/sf0.01/pages.parquet").to_table(columns=["html"])["html"].to_pylist()]
+    plain = [re.sub(r"<(/?)(?:article|nav|footer)>", r"<\1div>", x).replace(' class="ad"', "") for x in pages]
+    precision, recall = quality_of([(b, html.extract(a), "") for a, b in zip(pages, plain)])
+    assert precision > 0.95 and recall > 0.99
+
+
 def test_html_rows(spark):
     df = spark.createDataFrame([(i, "u", p, 3) for i, (p, _) in enumerate(PAGES)], "page_id long, url string, html string, text int")
     assert {r.page_id: (r.text, r.n_chars) for r in html.extract_pages(df).collect()} == {i: (w, len(w)) for i, (_, w) in enumerate(PAGES)}

@@ -1,116 +1,185 @@
 """Token counts of flat token files by a scan for separators.
 
-A flat token file is nothing but 16-bit little-endian numbers: the token ids plus one,
-documents ended by 0; it has no index.  The scan cuts files into blocks at any place;
-a vectorised search finds a block's ends of documents, and a prefix scan over the
-blocks of a file (ends so far, place of the last one) stitches the documents that
-cross boundaries.  Neither text nor tokens are shuffled.
-
-``write_token_files`` writes a table's documents, files from each task, by Spark's
-text writer, so any store will do; ``manifest`` names the documents of each file.
+A flat token file is nothing but little-endian numbers of one width: token ids plus
+SHIFT, documents ended by END, with PAD between records; it has no index.  The scan
+cuts files into blocks at any place; a vectorised search finds a block's ends of
+documents, and a prefix scan over the blocks of a stream (the files that one task
+wrote, or one foreign file) stitches the documents that cross blocks and files.
+Neither text nor tokens are shuffled.
+
+``write_token_files`` writes a table's documents by Spark's text writer, so any store
+will do.  The numbers are 16 bits wide if every id of the vocabulary fits, else 32.  A
+record has at most RECORD bytes and a file FILE_RECORDS records, however long a text
+is: a document's tokens go on in the next record, or file.  Where ``named``, the
+NAME numbers before a document's end are its doc_id, so a document's count carries its
+id in the data's own order; they are not counted.
+
+The strings of special tokens count as ordinary text here (in packing they become the
+special token's id, as the vocabulary's own library has it).
 
 Defined cases: null and empty texts are documents of 0 tokens; tokens after the last
-end are a document without end (``ended`` false); repeated rows are counted each; an
-odd last byte is an error.  Empty table, empty file: no rows.  Other columns are
-ignored.
+end are a document without end (``ended`` false); repeated rows are counted each; a
+null doc_id stays null; a file with a part of a number is an error, and so are written
+files with a document without end.  Empty table, empty file: no rows.  Other columns
+are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import written
-from .tokens import encoder
+from .tokens import encoder, highest_id
+
+#: Bytes of a block that is scanned, bytes of a record, records of a file.
+BLOCK, RECORD, FILE_RECORDS = 1 << 20, 1 << 20, 32
+#: Numbers that are no tokens, and what is added to the ids.
+END, PAD, SHIFT = 0, 1, 2
+#: Numbers of a name, and bits of a doc_id in each; the bit beyond the 64 stands for null.
+NAME, NAME_BITS = 5, 13
+
+
+@dataclass(frozen=True)
+class Layout:
+    """How the files are to be read: the numbers' type, whether PAD is no token, whether names stand before the ends."""
+
+    number: str = "<u2"
+    padded: bool = True
+    named: bool = True
+
+    @property
+    def width(self) -> int:
+        return np.dtype(self.number).itemsize
+
+
+def layout_of(highest: int) -> Layout:
+    """The narrowest layout that holds ids up to ``highest``."""
+    return Layout("<u2" if highest + SHIFT <= 0xFFFF else "<u4")
+
 
-#: Bytes of a block, and most documents of a file.
-BLOCK, FILE_DOCUMENTS = 1 << 20, 10_000
+def named_tail(doc_id: int | None, number: str) -> bytes:
+    """A document's name and end."""
+    value = 1 << 64 if doc_id is None else doc_id % (1 << 64)
+    words = [(value >> (NAME_BITS * k) & ((1 << NAME_BITS) - 1)) + SHIFT for k in range(NAME)]
+    return np.array([*words, END], number).tobytes()
 
 
-def write_token_files(documents: DataFrame, vocabulary: str, path: str) -> None:
-    """The documents' tokens as flat files; ids up to 65,534."""
+def names_of(words: np.ndarray) -> pa.Array:
+    """The doc_ids of rows of NAME numbers."""
+    held = words.astype(np.uint64) - np.uint64(SHIFT)
+    value = np.zeros(len(held), np.uint64)
+    for k in range(NAME):
+        value |= held[:, k] << np.uint64(NAME_BITS * k)
+    return pa.array(value.view(np.int64), mask=held[:, NAME - 1] >> np.uint64(64 - NAME_BITS * (NAME - 1)) > 0)
+
+
+def records(pieces: Iterator[tuple[bytes, bytes]], size: int) -> Iterator[bytes]:
+    """The stream of (tokens, tail) in records of at most ``size`` bytes; a tail is never cut."""
+    held, room = [], size
+    for body, tail in pieces:
+        at = 0
+        while len(body) - at > room:
+            held.append(body[at : at + room])
+            yield b"".join(held)
+            at, held, room = at + room, [], size
+        held.append(body[at:])
+        room -= len(body) - at
+        if room < len(tail):
+            yield b"".join(held)
+            held, room = [], size
+        held.append(tail)
+        room -= len(tail)
+    if held:
+        yield b"".join(held)
+
+
+def write_token_files(documents: DataFrame, vocabulary: str, path: str, layout: Layout | None = None) -> Layout:
+    """The documents' tokens as flat files with names; how to read them."""
+    layout = layout or layout_of(highest_id(vocabulary))
+    number, size = layout.number, RECORD // layout.width * layout.width
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary, special=False)
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 1024):
-                raw = [(encode(x.as_py() or "") + 1).astype("<u2").tobytes() for x in batch.column("text").slice(lo, 1024)]
-                ends = np.cumsum([0, *map(len, raw)]).astype(np.int32)
-                # The bytes go through as they are; the text writer puts two zero bytes after each row.
-                yield pa.RecordBatch.from_arrays([pa.StringArray.from_buffers(len(raw), pa.py_buffer(ends.tobytes()), pa.py_buffer(b"".join(raw)))], ["value"])
 
-    documents.select("text").mapInArrow(run, "value string").write.option("lineSep", "\x00\x00").option("compression", "none").option("maxRecordsPerFile", FILE_DOCUMENTS).text(path)
+        def pieces() -> Iterator[tuple[bytes, bytes]]:
+            for batch in batches:
+                for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
+                    yield (encode(text.as_py() or "") + SHIFT).astype(number).tobytes(), named_tail(doc_id, number)
 
+        for record in records(pieces(), size):
+            # The bytes go through as they are; the text writer puts a PAD after each row.
+            yield pa.RecordBatch.from_arrays([pa.StringArray.from_buffers(1, pa.py_buffer(np.array([0, len(record)], np.int32).tobytes()), pa.py_buffer(record))], ["value"])
 
-def manifest(documents: DataFrame) -> DataFrame:
-    """(part, nth, doc_id): the document at each place of each task's file."""
-    row = F.monotonically_increasing_id()
-    return documents.select("doc_id").select(F.shiftright(row, 33).cast("int").alias("part"), row.bitwiseAND((1 << 33) - 1).alias("nth"), F.col("doc_id").cast("long").alias("doc_id"))
+    pad = np.array([PAD], number).tobytes().decode("ascii")
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "value string")
+    rows.write.option("lineSep", pad).option("compression", "none").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    return layout
 
 
-def token_blocks(spark: SparkSession, path: str, block: int = BLOCK) -> DataFrame:
-    """(file, block, data) of the flat files in a folder."""
+def token_files(spark: SparkSession, path: str) -> DataFrame:
+    """(stream, seq, data) of what ``write_token_files`` wrote to a folder: the files of each task, in order."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).filter("length > 0")
-    count = F.ceil(F.col("length") / block).cast("int")
-    cut = files.select(F.col("path").alias("file"), "content", F.explode(F.sequence(F.lit(0), count - 1)).alias("block"))
-    return cut.select("file", "block", F.substring(F.col("content"), F.col("block") * block + 1, F.lit(block)).alias("data"))
+    # part-00012-...-c003: the fourth file of task 12.
+    number = lambda pattern: F.regexp_extract("path", pattern, 1).cast("int")
+    return files.select(number(r"part-(\d+)-[^/]*$").cast("string").alias("stream"), number(r"-c(\d+)[^-/]*$").alias("seq"), F.col("content").alias("data"))
+
 
+def foreign_files(spark: SparkSession, path: str) -> DataFrame:
+    """(stream, seq, data) of any flat files, each a stream of its own; up to Spark's limit of 2 GB each."""
+    return spark.read.format("binaryFile").load(path).filter("length > 0").select(F.col("path").alias("stream"), F.lit(0).alias("seq"), F.col("content").alias("data"))
 
-def ends_of(blocks: DataFrame) -> DataFrame:
-    """(file, block, n_tokens, ends): places of the separators in each block."""
+
+def ends_of(files: DataFrame, layout: Layout, block: int = BLOCK) -> DataFrame:
+    """(stream, seq, block, n_tokens, ends): places of the separators among the numbers of each block, and the names before them."""
+    step = max(1, block // layout.width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, ends = [], []
-            for x in batch.column("data"):
-                raw = x.as_buffer()
-                if raw.size % 2:
-                    raise ValueError("a token file has an odd number of bytes")
-                ids = np.frombuffer(raw, "<u2")
-                sizes.append(len(ids))
-                ends.append(np.flatnonzero(ids == 0))
-            edge = np.cumsum([0, *map(len, ends)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(edge), pa.array(np.concatenate([np.zeros(0, np.int64), *ends]).astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column("file"), batch.column("block"), pa.array(sizes, pa.int64()), lists], ["file", "block", "n_tokens", "ends"])
-
-    return blocks.mapInArrow(run, "file string, block int, n_tokens long, ends array<int>")
-
-
-def count_tokens(blocks: DataFrame) -> DataFrame:
-    """(file, nth, start, n_tokens, ended): each document of each file, by place; the end is no token."""
-    found = ends_of(blocks)
-    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    base = F.coalesce(F.sum("n_tokens").over(before), F.lit(0))
-    many = F.size("ends")
-    scanned = found.withColumn("base", base).withColumn("nth", F.coalesce(F.sum(many).over(before), F.lit(0))).withColumn("last", F.when(many > 0, F.col("base") + F.element_at("ends", -1)))
+            for stream, seq, data in zip(batch.column("stream"), batch.column("seq"), batch.column("data")):
+                raw = data.as_buffer()
+                if raw.size % layout.width:
+                    raise ValueError("a token file ends within a number")
+                numbers = np.frombuffer(raw, layout.number)
+                for nth, lo in enumerate(range(0, len(numbers), step)):
+                    part = numbers[lo : lo + step]
+                    ends = np.flatnonzero(part == END)
+                    pads = np.flatnonzero(part == PAD) if layout.padded else ends[:0]
+                    at = pa.array(ends - np.searchsorted(pads, ends), pa.int64())
+                    # Writers never cut a name, so it may reach into the block before, not out of the file.
+                    names = names_of(numbers[(ends + lo)[:, None] + np.arange(-NAME, 0)]) if layout.named else pa.nulls(len(ends), pa.int64())
+                    found = pa.ListArray.from_arrays(pa.array([0, len(ends)], pa.int32()), pa.StructArray.from_arrays([at, names], ["at", "doc_id"]))
+                    yield pa.RecordBatch.from_arrays([pa.array([stream.as_py()]), pa.array([seq.as_py()], pa.int32()), pa.array([nth], pa.int32()), pa.array([len(part) - len(pads)], pa.int64()), found], ["stream", "seq", "block", "n_tokens", "ends"])
+
+    return files.mapInArrow(run, "stream string, seq int, block int, n_tokens long, ends array<struct<at:long,doc_id:long>>")
+
+
+def count_tokens(files: DataFrame, layout: Layout, block: int = BLOCK) -> DataFrame:
+    """(stream, nth, doc_id, start, n_tokens, ended): each document of each stream, by place; neither end nor name is a token."""
+    found = ends_of(files, layout, block)
+    within = Window.partitionBy("stream").orderBy("seq", "block")
+    before = within.rowsBetween(Window.unboundedPreceding, -1)
+    many, extra = F.size("ends"), NAME if layout.named else 0
+    scanned = found.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0))).withColumn("nth", F.coalesce(F.sum(many).over(before), F.lit(0)))
+    scanned = scanned.withColumn("last", F.when(many > 0, F.col("base") + F.element_at("ends", -1)["at"]))
     scanned = scanned.withColumn("open", F.coalesce(F.last("last", ignorenulls=True).over(before) + 1, F.lit(0)))
-    # Whatever follows a file's last end.
-    final = (F.lead("block").over(Window.partitionBy("file").orderBy("block"))).isNull()
+    # Whatever follows a stream's last end.
+    final = F.lead("block").over(within).isNull()
     scanned = scanned.withColumn("rest", F.when(final, F.col("base") + F.col("n_tokens") - F.coalesce(F.col("last") + 1, F.col("open"))))
-    start = lambda i: F.when(i == 0, F.col("open")).otherwise(F.col("base") + F.get("ends", i - 1) + 1)
-    docs = F.transform("ends", lambda e, i: F.struct((F.col("nth") + i).alias("nth"), start(i).alias("start"), (F.col("base") + e - start(i)).alias("n_tokens"), F.lit(True).alias("ended")))
-    tail = F.struct((F.col("nth") + many).alias("nth"), F.coalesce(F.col("last") + 1, F.col("open")).alias("start"), F.col("rest").alias("n_tokens"), F.lit(False).alias("ended"))
-    docs = F.concat(docs, F.when(F.col("rest") > 0, F.array(tail)).otherwise(F.array().cast("array<struct<nth:bigint,start:bigint,n_tokens:bigint,ended:boolean>>")))
-    return scanned.select("file", F.inline(docs))
+    start = lambda i: F.when(i == 0, F.col("open")).otherwise(F.col("base") + F.get("ends", i - 1)["at"] + 1)
+    docs = F.transform("ends", lambda e, i: F.struct((F.col("nth") + i).alias("nth"), e["doc_id"].alias("doc_id"), start(i).alias("start"), (F.col("base") + e["at"] - start(i) - extra).alias("n_tokens"), F.lit(True).alias("ended")))
+    tail = F.struct((F.col("nth") + many).alias("nth"), F.lit(None).cast("long").alias("doc_id"), F.coalesce(F.col("last") + 1, F.col("open")).alias("start"), F.col("rest").alias("n_tokens"), F.lit(False).alias("ended"))
+    none = F.array().cast("array<struct<nth:bigint,doc_id:bigint,start:bigint,n_tokens:bigint,ended:boolean>>")
+    return scanned.select("stream", F.inline(F.concat(docs, F.when(F.col("rest") > 0, F.array(tail)).otherwise(none))))
 
 
 def named_counts(documents: DataFrame, vocabulary: str, path: str) -> DataFrame:
-    """part, nth, doc_id, start, n_tokens of each document, from flat files written to ``path``.
-
-    Files and manifest are two passes over the rows, which must come in the same order:
-    so they do from a scan of files; whatever has been shuffled is written out first.
-    """
-    documents = documents.select("doc_id", "text")
-    if "Exchange" in documents._jdf.queryExecution().executedPlan().toString():
-        documents = written(documents.sparkSession, documents, "documents")
-    write_token_files(documents, vocabulary, path)
-    counts = count_tokens(token_blocks(documents.sparkSession, path))
-    # part-00012-...-c003: the fourth file of task 12.
-    counts = counts.withColumn("part", F.regexp_extract("file", r"part-(\d+)-[^/]*$", 1).cast("int")).withColumn("nth", F.col("nth") + FILE_DOCUMENTS * F.regexp_extract("file", r"-c(\d+)[^-/]*$", 1).cast("long"))
-    found = counts.join(manifest(documents), ["part", "nth"], "full")
-    missing = F.raise_error(F.lit("token files and documents differ"))
-    return found.select("part", "nth", "doc_id", F.when(F.col("n_tokens").isNull() | ~F.col("ended"), missing.cast("long")).otherwise(F.col("start")).alias("start"), "n_tokens")
+    """part, nth, doc_id, start, n_tokens of each document, from flat files written to ``path``."""
+    layout = write_token_files(documents, vocabulary, path)
+    counts = count_tokens(token_files(documents.sparkSession, path), layout)
+    cut_off = F.raise_error(F.lit("a token file ends within a document"))
+    return counts.select(F.col("stream").cast("int").alias("part"), "nth", "doc_id", "start", F.when(F.col("ended"), F.col("n_tokens")).otherwise(cut_off.cast("long")).alias("n_tokens"))

@@ -133,22 +133,80 @@ def test_packing_empty(spark):
     assert packing.pack(docs(spark, []), vocabulary()).collect() == []
 
 
-@pytest.mark.parametrize("most", [3, 10_000])
-def test_token_counts(spark, most, monkeypatch):
-    monkeypatch.setattr(tokencounts, "FILE_DOCUMENTS", most)
-    texts = [*ODD, None]
-    df = docs(spark, texts).repartition(3)
+@pytest.mark.parametrize("record,most,number", [(16, 2, "<u2"), (64, 3, "<u4"), (1 << 20, 32, None)])
+def test_token_counts(spark, record, most, number, monkeypatch):
+    monkeypatch.setattr(tokencounts, "FILE_RECORDS", most)
+    monkeypatch.setattr(tokencounts, "RECORD", record)
+    texts = [*ODD, None, "word " * 3_000]  # the last one crosses records and files
+    df = docs(spark, texts).unionByName(docs(spark, ["twice"] * 2, 5)).repartition(3)
     ids = encoder(vocabulary(), special=False)
     path = shared_path(spark, "t")
-    got = tokencounts.named_counts(df, vocabulary(), path)
-    assert {r.doc_id: r.n_tokens for r in got.collect()} == {i: len(ids(t or "")) for i, t in enumerate(texts)}
-    for block in (2, 6, 64, 1 << 20):  # documents cross blocks
-        rows = tokencounts.count_tokens(tokencounts.token_blocks(spark, path, block)).collect()
-        assert sorted(r.n_tokens for r in rows) == sorted(len(ids(t or "")) for t in texts) and all(r.ended for r in rows)
-    raw = spark.createDataFrame([("f", 0, bytearray(b"\1\0\2\0\0\0")), ("f", 1, bytearray(b"\0\0\3\0"))], "file string, block int, data binary")
-    assert sorted((r.nth, r.start, r.n_tokens, r.ended) for r in tokencounts.count_tokens(raw).collect()) == [(0, 0, 2, True), (1, 3, 0, True), (2, 4, 1, False)]
-    with pytest.raises(Exception, match="odd number"):
-        tokencounts.count_tokens(spark.createDataFrame([("f", 0, bytearray(b"\1"))], "file string, block int, data binary")).collect()
+    layout = tokencounts.write_token_files(df, vocabulary(), path, tokencounts.Layout(number) if number else None)
+    want = sorted((r.doc_id, len(ids(r.text or ""))) for r in df.collect())
+    for block in (2, 6, 64, 1 << 20):  # documents and names cross blocks
+        rows = tokencounts.count_tokens(tokencounts.token_files(spark, path), layout, block).collect()
+        assert sorted((r.doc_id, r.n_tokens) for r in rows) == want and all(r.ended for r in rows)
+        for s in {r.stream for r in rows}:
+            held = sorted((r.nth, r.start, r.n_tokens) for r in rows if r.stream == s)
+            assert [n for n, *_ in held] == list(range(len(held))) and all(b[1] == a[1] + a[2] + tokencounts.NAME + 1 for a, b in zip(held, held[1:]))
+    sizes = [r["length"] for r in spark.read.format("binaryFile").load(path).select("length").collect()]
+    assert max(sizes) <= most * (record + layout.width)
+    got = tokencounts.named_counts(df, vocabulary(), shared_path(spark, "t")).collect()
+    assert sorted((r.doc_id, r.n_tokens) for r in got) == want
+
+
+def test_token_counts_of_wide_vocabularies(spark, tmp_path):
+    import json
+
+    with open(vocabulary(), encoding="utf-8") as f:
+        held = json.load(f)
+    held["model"]["vocab"] = {k: v + 70_000 for k, v in held["model"]["vocab"].items()}
+    held["added_tokens"][0]["id"] += 70_000
+    wide = tmp_path / "wide.json"
+    wide.write_text(json.dumps(held))
+    narrow, ids = encoder(vocabulary(), special=False), encoder(str(wide), special=False)
+    assert [ids(t).tolist() for t in ODD] == [(narrow(t) + 70_000).tolist() for t in ODD]
+    got = tokencounts.named_counts(docs(spark, ODD), str(wide), shared_path(spark, "t")).collect()
+    assert {r.doc_id: r.n_tokens for r in got} == {i: len(narrow(t)) for i, t in enumerate(ODD)}
+    assert [tokencounts.layout_of(n).number for n in (65_533, 65_534)] == ["<u2", "<u4"]
+
+
+def test_files_that_the_fast_library_reads_otherwise(tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    from gristmill.llm import tokens
+
+    with open(vocabulary(), encoding="utf-8") as f:
+        held = json.load(f)
+    assert tokens.plain(held)
+    held["pre_tokenizer"]["add_prefix_space"] = True
+    assert not tokens.plain(held)
+    other = tmp_path / "other.json"
+    other.write_text(json.dumps(held))
+    for text in ODD:
+        assert encoder(str(other))(text).tolist() == Tokenizer.from_file(str(other)).encode(text, add_special_tokens=False).ids
+
+
+def test_token_names():
+    for number in ("<u2", "<u4"):
+        for doc_id in (0, 1, -1, 2**63 - 1, -(2**63), 123_456_789_012, None):
+            raw = np.frombuffer(tokencounts.named_tail(doc_id, number), number)
+            assert tokencounts.names_of(raw[None, :-1]).to_pylist() == [doc_id] and raw[-1] == tokencounts.END and raw[:-1].min() >= tokencounts.SHIFT
+
+
+def test_foreign_token_files(spark, tmp_path):
+    raw = np.array([1, 2, 0, 0, 3], "<u2").tobytes()
+    (tmp_path / "a.bin").write_bytes(raw)
+    (tmp_path / "empty.bin").write_bytes(b"")
+    plain = tokencounts.Layout(padded=False, named=False)
+    for block in (2, 4, 1 << 20):
+        rows = tokencounts.count_tokens(tokencounts.foreign_files(spark, str(tmp_path)), plain, block).collect()
+        assert sorted((r.nth, r.start, r.n_tokens, r.ended) for r in rows) == [(0, 0, 2, True), (1, 3, 0, True), (2, 4, 1, False)]
+    (tmp_path / "a.bin").write_bytes(raw[:-1])
+    with pytest.raises(Exception, match="within a number"):
+        tokencounts.count_tokens(tokencounts.foreign_files(spark, str(tmp_path)), plain).collect()
 
 
 PAGES = [

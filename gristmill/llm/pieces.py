@@ -10,6 +10,12 @@ A text is encoded as ``▁`` plus the text, blanks as ``▁`` (empty texts as no
 piece has a ``▁`` after another character, so units (blanks and the run that follows,
 cut at line feeds where no piece has one) are independent: a task keeps the pieces of
 the units that it has seen, and the automaton walks all new units of a batch abreast.
+Units of more than LONG bytes (text without blanks) are walked one by one in a plain
+loop, whose memory is a few numbers for each byte.
+
+The segmentation is the unigram model's, whatever model the file holds: with a unigram
+model the ids are those of the file's own library; a BPE model's library merges by
+rank, so its ids differ (README has the figures).
 
 A ``▁`` of the text itself is written as byte pieces, so that decoding gives back every
 text exactly.
@@ -21,7 +27,9 @@ encoded each; unpaired surrogates cannot occur in a column.  Empty table: no row
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -34,6 +42,8 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 BLANK = "▁"
 #: Units kept by a task, cells of a lattice that is walked at once.
 KEPT_UNITS, LATTICE = 200_000, 1 << 20
+#: Bytes of a unit that is walked alone, and of the longest that is kept.
+LONG = 256
 UNKNOWN_COST = 10.0
 #: Stands for a ``▁`` of the text among units, none of which is empty.
 OWN = ""
@@ -56,6 +66,7 @@ class Pieces:
         self.score = np.array([held.get_score(i) if kind[i] == "text" else 0.0 for i in range(len(names))])
         self.length = np.array([len(texts.get(i, b"")) for i in range(len(names))], np.int32)
         self.unknown = min(self.score[i] for i in texts) - UNKNOWN_COST
+        self.sizes, self.costs = self.length.tolist(), self.score.tolist()
         self.text = [texts[i].replace(BLANK.encode(), b" ") if i in texts else bytes([int(n[3:5], 16)]) if kind[i] == "byte" else b"" for i, n in enumerate(names)]
         self.build(texts)
         lines = not any(b"\n" in t and len(t) > 1 for t in texts.values())
@@ -63,6 +74,7 @@ class Pieces:
         cut = "" if inner else r"▁*[^▁\n]+|▁+|\n" if lines else r"▁*[^▁]+|▁+"
         self.units = re.compile(cut).findall if cut else lambda text: [text]
         self.kept: dict[str, bytes] = {}
+        self.flat: tuple | None = None
 
     def build(self, texts: dict[int, bytes]) -> None:
         children: list[dict[int, int]] = [{}]
@@ -95,9 +107,9 @@ class Pieces:
             level = below
 
     def segment(self, units: list[bytes]) -> list[bytes]:
-        """The int32 ids of each unit, by a Viterbi pass over all units abreast."""
-        out: list[bytes] = [b""] * len(units)
-        order = sorted(range(len(units)), key=lambda i: len(units[i]))
+        """The int32 ids of each unit, by a Viterbi pass over all units abreast; long ones alone."""
+        out = [self.walk(u) if len(u) > LONG else b"" for u in units]
+        order = sorted((i for i in range(len(units)) if len(units[i]) <= LONG), key=lambda i: len(units[i]))
         lo = 0
         while lo < len(order):
             hi = lo + 1
@@ -168,6 +180,45 @@ class Pieces:
         edge = np.searchsorted(row, np.arange(n + 1))
         return [ids[a:b].tobytes() for a, b in zip(edge, edge[1:])]
 
+    def walk(self, unit: bytes) -> bytes:
+        """The int32 ids of one unit: as ``lattice``, byte by byte."""
+        if self.flat is None:  # plain numbers: quicker one at a time
+            self.flat = memoryview(np.ascontiguousarray(self.goto).reshape(-1)), self.ends.tolist(), self.link.tolist()
+        goto, ends, link = self.flat
+        sizes, costs, unknown, size = self.sizes, self.costs, self.unknown, len(unit)
+        best, back = array("d", bytes(8 * (size + 1))), array("i", bytes(4 * (size + 1)))
+        state = begun = 0
+        for i, byte in enumerate(unit, 1):
+            if byte & 0xC0 != 0x80:
+                begun = i - 1
+            state = goto[state << 8 | byte]
+            top, piece_of, alone = -math.inf, 0, False
+            at = state if ends[state] >= 0 else link[state]
+            while at:
+                piece = ends[at]
+                start = i - sizes[piece]
+                alone = alone or start == begun
+                score = best[start] + costs[piece]
+                if score > top:
+                    top, piece_of = score, piece
+                at = link[at]
+            if not alone and (i == size or unit[i] & 0xC0 != 0x80):  # a whole character ends here, and is no piece
+                score = best[begun] + unknown
+                if score > top:
+                    top, piece_of = score, begun - i
+            best[i], back[i] = top, piece_of
+        out, at = array("i"), size
+        while at:
+            piece = back[at]
+            if piece < 0:
+                out.extend(int(self.byte_ids[unit[k]]) for k in range(at - 1, at + piece - 1, -1))
+                at += piece
+            else:
+                out.append(piece)
+                at -= sizes[piece]
+        out.reverse()
+        return np.frombuffer(out, np.int32).astype("<i4").tobytes() if out else b""
+
     def encode_all(self, texts: list[str | None]) -> list[bytes | None]:
         """The int32 ids of each text."""
         cuts = [None if t is None else [] if not t else self.marked(t) if BLANK in t else self.units(BLANK + t.replace(" ", BLANK)) for t in texts]
@@ -177,9 +228,9 @@ class Pieces:
             fresh = {u for units in cuts if units for u in units}
         self.kept[OWN] = self.byte_ids[list(BLANK.encode())].astype("<i4").tobytes()
         new = [u for u in fresh if u != OWN]
-        self.kept.update(zip(new, self.segment([u.encode() for u in new]), strict=True))
-        get = self.kept.__getitem__
-        return [None if units is None else b"".join(map(get, units)) for units in cuts]
+        found = dict(zip(new, self.segment([u.encode() for u in new]), strict=True))
+        self.kept.update((u, ids) for u, ids in found.items() if len(u) <= LONG)  # long ones hardly come again
+        return [None if units is None else b"".join(found[u] if u in found else self.kept[u] for u in units) for units in cuts]
 
     def marked(self, text: str) -> list[str]:
         """Units of a text that has ``▁`` itself: OWN stands for one."""

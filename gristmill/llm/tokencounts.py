@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from .tokens import encoder, highest_id
 
 #: Bytes of a block that is scanned, bytes of a record, records of a file.
-BLOCK, RECORD, FILE_RECORDS = 1 << 20, 1 << 20, 32
+BLOCK, RECORD, FILE_RECORDS = 1 << 20, 1 << 20, 16
 #: Numbers that are no tokens, and what is added to the ids.
 END, PAD, SHIFT = 0, 1, 2
 #: Numbers of a name, and bits of a doc_id in each; the bit beyond the 64 stands for null.

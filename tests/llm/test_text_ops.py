@@ -3,6 +3,7 @@
 import os
 import random
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -75,6 +76,50 @@ def test_pieces():
         pieces.KEPT_UNITS = old
 
 
+def test_long_units(monkeypatch):
+    """Units walked alone get what the lattice gives."""
+    p = pieces.Pieces(vocabulary("piece_bpe_32k.model"))
+    rng = random.Random(8)
+    units = [("".join(rng.choice(chars) for _ in range(n))).encode() for chars in ("x", "xy", "thea", "日本語é龘", "\x00a€", "abcdefghij") for n in (1, 7, 300)]
+    assert [p.walk(u) for u in units] == p.lattice(units)
+    text = "日本語龘" * 20_000 + "x" * 200_000 + " " + "ab" * 50_000
+    assert p.decode(p.encode_all([text])[0]) == text and not any(len(u) > pieces.LONG for u in p.kept)
+
+
+def unigram_model(path, words, byte_fallback=True):
+    """A unigram model file written by hand: nothing is trained."""
+
+    def field(number, kind, value):
+        key = bytes([number << 3 | kind])
+        return key + (bytes([len(value)]) if len(value) < 128 else bytes([len(value) & 127 | 128, len(value) >> 7])) + value if kind == 2 else key + value
+
+    def piece(name, score, kind):
+        return field(1, 2, field(1, 2, name.encode()) + field(2, 5, struct.pack("<f", score)) + field(3, 0, bytes([kind])))
+
+    held = [piece("<unk>", 0, 2), piece("<s>", 0, 3), piece("</s>", 0, 3)]
+    if byte_fallback:
+        held += [piece(f"<0x{b:02X}>", 0, 6) for b in range(256)]
+    held += [piece(w, s, 1) for w, s in words.items()]
+    trainer = field(3, 0, b"\1") + bytes([35 << 3 & 127 | 128, 35 << 3 >> 7, int(byte_fallback)])
+    normalizer = field(1, 2, b"identity") + field(3, 0, b"\1") + field(4, 0, b"\0") + field(5, 0, b"\1")
+    path.write_bytes(b"".join(held) + field(2, 2, trainer) + field(3, 2, normalizer))
+    return str(path)
+
+
+def test_pieces_equal_the_library_on_a_unigram_model(tmp_path):
+    import sentencepiece
+
+    rng = random.Random(12)
+    letters = "abcdeé日x"
+    words = {w: -rng.uniform(1, 12) for w in {*letters, "▁", *("▁" * rng.randint(0, 1) + "".join(rng.choice(letters) for _ in range(rng.randint(1, 5))) for _ in range(400))} if w}
+    model = unigram_model(tmp_path / "u.model", words)
+    library, ours = sentencepiece.SentencePieceProcessor(model_file=model), pieces.Pieces(model)
+    texts = [" ".join("".join(rng.choice(letters + "龘€z") for _ in range(rng.randint(1, 12))) for _ in range(rng.randint(1, 30))) for _ in range(300)]
+    texts += ["x" * 2_000, "abcde" * 500, "a", "  two  blanks ", "z龘"]
+    for text, ids in zip(texts, ours.encode_all(texts)):
+        assert np.frombuffer(ids, "<i4").tolist() == library.encode(text), text
+
+
 def test_pieces_columns(spark):
     model = vocabulary("piece_bpe_32k.model")
     df = spark.createDataFrame([(1, "a b", "keep"), (2, None, "x"), (3, "", "y")], "doc_id long, text string, pieces string")

@@ -67,6 +67,19 @@ def test_chat_round_trip(spark):
     assert chat.format_chats(df.limit(0)).collect() == []
 
 
+def test_chat_without_conversation_and_long_ones(spark):
+    """Rows without an id are conversations of their own; offsets hold over chunks and pages."""
+    rows = [(None, 0, "user", "x"), (None, 0, "user", "x"), (None, 1, "assistant", None)]
+    done = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert sorted(r.formatted for r in done) == sorted(["<|im_start|>user\nx<|im_end|>\n"] * 2 + ["<|im_start|>assistant\n<|im_end|>\n"])
+    for roles in (["assistant"], ["user", "assistant"], ["user"]):
+        texts = [f"{'é<|' * (i % 37)} {i}" for i in range(1_500)]
+        df = spark.createDataFrame([(1, i, roles[i % len(roles)], t) for i, t in enumerate(texts)], "conv_id long, turn long, role string, text string")
+        held = chat.format_chats(df)
+        row = held.select("loss_spans", chat.masked_texts(F.col("formatted"), F.col("loss_spans")).alias("loss")).collect()[0]
+        assert row.loss == [t for i, t in enumerate(texts) if roles[i % len(roles)] == "assistant"] and len(row.loss_spans) == len(row.loss)
+
+
 def test_chat_query_digests(spark, tmp_path):
     from gristmill.llm import queries
 

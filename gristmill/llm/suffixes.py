@@ -2,10 +2,15 @@
 
 Every text is its UTF-8 bytes.  A byte goes if a ``LENGTH``-byte string that covers it
 also starts in a document with a smaller id.  A suffix therefore matters up to its
-first ``LENGTH`` bytes only.  Prefix polynomial hashes (modulo 2**64) give the hash of
-any such stretch by one subtraction and one product; suffixes are merge-sorted by it,
-neighbours of equal hash are verified byte by byte, and a class of equal suffixes
-loses all but its smallest document's.
+first ``LENGTH`` bytes only.
+
+Suffixes are merge-sorted.  Runs of the sort are formed by the first SEED bytes; from
+there two suffixes are compared by their common extension, found by a binary search
+over prefix polynomial hashes (modulo 2**64): the hash of any stretch takes one
+subtraction and one product.  All comparisons of a merge step are made at once.  The
+sorted order is then verified by the bytes themselves; where hashes collided, the run
+is sorted by its bytes.  A class of equal suffixes loses all but its smallest
+document's.
 
 Steps, each by groups of bounded size:
 
@@ -21,7 +26,11 @@ Steps, each by groups of bounded size:
 5. Groups take the covered bytes out.
 
 Frequent passages are thus joined within a group before they travel: a bucket gets a
-string at most once from each group.
+string at most once from each group.  Beyond FAN groups buckets form a tree: a task
+settles the stretches of FAN groups (of one bucket), and sends on what is left, a
+string once; so no task gets a string from more than FAN senders, however common it is.
+Rows are dealt to groups by id and text, so neither rows without an id nor many rows of
+one id meet in one group.
 
 Defined cases: null text is empty; texts shorter than LENGTH lose nothing; rows with
 a null doc_id lose nothing and take nothing from others; rows of one doc_id don't
@@ -34,7 +43,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -44,8 +53,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 LENGTH, GRAM = 50, 24
+#: Bytes that form the first runs of the sort.
+SEED = 16
 #: Suffixes hashed at once, and sorted at once.
 STRETCH, SORTED = 1 << 18, 1 << 19
+#: Senders of stretches that one task takes.
+FAN = 2_048
 
 
 def plan_sizes(size: int, parts: int) -> tuple[int, int]:
@@ -65,15 +78,18 @@ _MASK = (1 << 64) - 1
 NO_ID = np.iinfo(np.int64).max
 
 
-@lru_cache(maxsize=1)
-def powers() -> tuple[np.ndarray, np.ndarray]:
-    """The base's powers and their inverses, modulo 2**64."""
-    size = STRETCH + LENGTH + 1
-    up, down = np.full(size, _BASE, np.uint64), np.full(size, pow(_BASE, -1, 1 << 64), np.uint64)
+@lru_cache(maxsize=4)
+def powers_of(bits: int) -> tuple[np.ndarray, np.ndarray]:
+    up, down = np.full(1 << bits, _BASE, np.uint64), np.full(1 << bits, pow(_BASE, -1, 1 << 64), np.uint64)
     up[0] = down[0] = 1
     return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
 
 
+def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The base's first ``size`` powers at least, and their inverses, modulo 2**64."""
+    return powers_of(max(16, size.bit_length()))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Spreads a hash over all 64 bits (in place)."""
     x ^= x >> np.uint64(32)
@@ -85,14 +101,14 @@ def mix(x: np.ndarray) -> np.ndarray:
 def prefix_hashes(data: np.ndarray) -> np.ndarray:
     """P with P[i] the polynomial hash of the first i bytes."""
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers()[0][: len(data)], out=out[1:])
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(len(data))[0][: len(data)], out=out[1:])
     return out
 
 
 def stretch_hashes(prefix: np.ndarray, length: int) -> np.ndarray:
     """The hash of the ``length`` bytes that start at each place, comparable between places."""
     many = len(prefix) - length
-    return mix((prefix[length:] - prefix[:many]) * powers()[1][:many])
+    return mix((prefix[length:] - prefix[:many]) * powers(many)[1][:many])
 
 
 def least_of(h: np.ndarray, width: int) -> np.ndarray:
@@ -114,7 +130,7 @@ def suffix_hashes(data: np.ndarray, at: np.ndarray) -> np.ndarray:
         hi = int(np.searchsorted(at, start + STRETCH - LENGTH))
         prefix = prefix_hashes(data[start : start + STRETCH])
         i = at[lo:hi] - start
-        out[lo:hi] = (prefix[i + LENGTH] - prefix[i]) * powers()[1][i]
+        out[lo:hi] = (prefix[i + LENGTH] - prefix[i]) * powers(len(prefix))[1][i]
         lo = hi
     return mix(out)
 
@@ -152,47 +168,197 @@ def words_at(data: np.ndarray) -> np.ndarray:
     return np.ndarray((len(held) - 7,), "<u8", held, 0, (1,))
 
 
-def repeats(data: np.ndarray, at: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    """For suffixes at ascending places of ``data`` the smallest owner of the same LENGTH bytes."""
-    n = len(at)
-    if not n:
+class Sorter:
+    """Suffixes at ascending places of ``data``, up to LENGTH bytes each, to be merge-sorted."""
+
+    def __init__(self, data: np.ndarray, at: np.ndarray):
+        # The bytes that the suffixes cover, as one stretch for each run of them.
+        head = np.flatnonzero(np.diff(at, prepend=-LENGTH) >= LENGTH) if len(at) else np.zeros(0, np.int64)
+        size = np.append(at[head[1:] - 1], at[-1:]) + LENGTH - at[head]
+        base = np.cumsum(size) - size
+        places, stretch = expand(at[head], size)
+        self.data = data[places]
+        shift = np.repeat(base - at[head], np.diff(np.append(head, len(at))))
+        self.at = at + shift  # in self.data
+        up, down = powers(int(size.max(initial=0)))
+        self.prefix = np.zeros(len(self.data) + 1, np.uint64)
+        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * up[np.arange(len(self.data)) - base[stretch]], out=self.prefix[1:])
+        self.before = self.prefix[self.at]
+        self.scale = down[self.at - np.repeat(base, np.diff(np.append(head, len(at))))]
+        self.whole = self.hashes(np.arange(len(at)), LENGTH)
+
+    def hashes(self, i: np.ndarray, length) -> np.ndarray:
+        """The hashes of the first ``length`` bytes of suffixes i."""
+        return (self.prefix[self.at[i] + length] - self.before[i]) * self.scale[i]
+
+    def extension(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """How many bytes suffixes i and j have in common, SEED at least: by binary search over prefix hashes."""
+        low, high = np.full(len(i), SEED), np.full(len(i), LENGTH)
+        for _ in range((LENGTH - SEED).bit_length()):
+            middle = (low + high + 1) >> 1
+            same = self.hashes(i, middle) == self.hashes(j, middle)
+            low, high = np.where(same, middle, low), np.where(same, high, middle - 1)
+        return low
+
+    def below(self, i: np.ndarray, j: np.ndarray, ties: np.ndarray) -> np.ndarray:
+        """Is suffix i less than j?  Of equal ones, what ``ties`` says."""
+        out = ties.copy()
+        differ = np.flatnonzero(self.whole[i] != self.whole[j])
+        i, j = i[differ], j[differ]
+        common = np.minimum(self.extension(i, j), LENGTH - 1)
+        out[differ] = self.data[self.at[i] + common] < self.data[self.at[j] + common]
+        return out
+
+    def seeds(self) -> tuple[np.ndarray, np.ndarray]:
+        words = words_at(self.data)
+        return words[self.at].byteswap(), words[self.at + 8].byteswap()
+
+    def order(self) -> tuple[np.ndarray, np.ndarray]:
+        """(suffixes in order, for each but the first whether it equals the one before)."""
+        first, second = self.seeds()
+        order = np.lexsort((second, first))
+        same = (first[order[1:]] == first[order[:-1]]) & (second[order[1:]] == second[order[:-1]])
+        head = np.flatnonzero(np.concatenate([[True], ~same]))
+        size = np.diff(np.append(head, len(order)))
+        runs = order.copy()
+        self.merge(order, np.repeat(head, size), np.repeat(size, size))
+        return order, self.verified(order, runs, same)
+
+    def merge(self, order: np.ndarray, head: np.ndarray, size: np.ndarray) -> None:
+        """Merges the runs of each seed, of 1, 2, 4, ... suffixes, in place.  head, size: of each place's seed."""
+        live, width = np.flatnonzero(size > 1), 1
+        head, size = head[live], size[live]
+        while len(live):
+            mine = live - head
+            run = mine // width
+            other = np.minimum((run ^ 1) * width, size)  # where the sibling run starts, and its length
+            length = np.minimum(other + width, size) - other
+            low, high = np.zeros(len(live), np.int64), length.copy()
+            right = run % 2 == 1  # of equal suffixes the left run's come first
+            busy = np.flatnonzero(low < high)
+            while len(busy):
+                middle = (low[busy] + high[busy]) >> 1
+                # Does the sibling's suffix stand before mine?
+                before = self.below(order[head[busy] + other[busy] + middle], order[live[busy]], right[busy])
+                low[busy], high[busy] = np.where(before, middle + 1, low[busy]), np.where(before, high[busy], middle)
+                busy = busy[low[busy] < high[busy]]
+            order[head + (run & ~1) * width + mine - run * width + low] = order[live]
+            width *= 2
+            more = size > width
+            live, head, size = live[more], head[more], size[more]
+
+    def words(self, i: np.ndarray) -> list[np.ndarray]:
+        held = words_at(self.data)
+        return [held[self.at[i] + k].byteswap() for k in (*range(0, LENGTH - 8, 8), LENGTH - 8)]
+
+    def verified(self, order: np.ndarray, runs: np.ndarray, same_seed: np.ndarray) -> np.ndarray:
+        """Which neighbours are equal, by their bytes; seeds whose order is wrong are sorted anew by their bytes.
+
+        runs: the order before merges.  Hashes that collide may contradict each other, so that merges lose suffixes.
+        """
+        lost = np.flatnonzero(np.bincount(order, minlength=len(order))[runs] != 1)
+        less, equal = self.neighbours(order)
+        wrong = np.concatenate([lost, np.flatnonzero(~less & ~equal)])
+        if len(wrong):
+            for lo, hi in class_bounds(same_seed, wrong):
+                order[lo:hi] = sorted(runs[lo:hi].tolist(), key=lambda i: self.data[self.at[i] : self.at[i] + LENGTH].tobytes())
+            _, equal = self.neighbours(order)
+        return equal
+
+    def neighbours(self, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each suffix but the last: is it less than the next, are they equal; by their bytes."""
+        less, equal = np.zeros(len(order) - 1, bool), np.ones(len(order) - 1, bool)
+        for word in self.words(order):
+            less |= equal & (word[:-1] < word[1:])
+            equal &= word[:-1] == word[1:]
+        return less, equal
+
+
+def classes(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """For suffixes at ascending places a number that equal ones share, from 0, in their order."""
+    if not len(at):
         return np.zeros(0, np.int64)
-    h = suffix_hashes(data, at)
-    order = np.argsort(h, kind="stable")
-    sorted_h, place = h[order], at[order]
-    same = sorted_h[1:] == sorted_h[:-1]
-    pair = np.flatnonzero(same)
-    if len(pair):
-        words = words_at(data)
-        differ = np.zeros(len(pair), bool)
-        for k in (*range(0, LENGTH - 8, 8), LENGTH - 8):
-            differ |= words[place[pair] + k] != words[place[pair + 1] + k]
-        if differ.any():  # a collision: sort the classes that have one by their bytes
-            for lo, hi in class_bounds(same, np.unique(pair[differ])):
-                own = sorted(range(lo, hi), key=lambda i: (data[place[i] : place[i] + LENGTH].tobytes(), place[i]))
-                order[lo:hi], place[lo:hi] = order[own], place[own]
-                for i in range(lo, hi - 1):
-                    same[i] = (data[place[i] : place[i] + LENGTH] == data[place[i + 1] : place[i + 1] + LENGTH]).all()
-    head = np.flatnonzero(np.concatenate([[True], ~same]))
-    size = np.diff(np.append(head, n))
-    who = owner[order]
-    least = np.repeat(np.minimum.reduceat(who, head), size)
-    out = np.empty(n, np.int64)
-    out[order] = least
+    order, equal = Sorter(data, at).order()
+    out = np.empty(len(at), np.int64)
+    out[order] = np.cumsum(np.concatenate([[False], ~equal]))
     return out
 
 
+def repeats(data: np.ndarray, at: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """For suffixes at ascending places of ``data`` the smallest owner of the same LENGTH bytes."""
+    label = classes(data, at)
+    least = np.full(int(label.max(initial=-1)) + 1, NO_ID)
+    np.minimum.at(least, label, owner)
+    return least[label]
+
+
+def settled(data: np.ndarray, start: np.ndarray, count: np.ndarray, key: np.ndarray, owner: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(places, run of each, smallest owner of the same bytes) of all suffixes of the runs, in parts of about SORTED.
+
+    Parts are of whole keys, so that equal suffixes meet; a key of more suffixes is
+    split by their hashes, and then goes through the sort piece by piece, with one
+    suffix for each string that has been seen.
+    """
+    by_key = np.argsort(key, kind="stable")
+    size = np.cumsum(count[by_key])
+    ends = np.append(np.flatnonzero(np.diff(key[by_key])) + 1, len(by_key))  # of each key
+    lo = 0
+    while lo < len(by_key):
+        before = size[lo - 1] if lo else 0
+        nth = int(np.searchsorted(ends, np.searchsorted(size, before + SORTED, side="right"), side="right"))
+        hi = int(ends[nth - 1]) if nth and ends[nth - 1] > lo else int(ends[np.searchsorted(ends, lo, side="right")])
+        some = np.sort(by_key[lo:hi])
+        if size[hi - 1] - before <= SORTED:
+            places, run = expand(start[some], count[some])
+            yield places, some[run], repeats(data, places, owner[some][run])
+        else:
+            yield from piecewise(data, start[some], count[some], owner[some], some)
+        lo = hi
+
+
+def piecewise(data: np.ndarray, start: np.ndarray, count: np.ndarray, owner: np.ndarray, name: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """``settled`` for runs whose suffixes are too many for one sort."""
+    many = -(-count // SORTED)
+    nth = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    of = np.repeat(np.arange(len(start)), many)
+    start, count = start[of] + nth * SORTED, np.minimum(SORTED, count[of] - nth * SORTED)
+    edge = np.cumsum(count)
+    cuts = np.unique([0, *np.searchsorted(edge, np.arange(SORTED, int(edge[-1]) + SORTED, SORTED), side="left") + 1])
+    splits = int(-(-edge[-1] // (4 * SORTED)))
+
+    def parts(split: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for lo, hi in zip(cuts, np.minimum(cuts[1:], len(start))):
+            places, run = expand(start[lo:hi], count[lo:hi])
+            mine = np.flatnonzero(suffix_hashes(data, places) % np.uint64(splits) == split)
+            if len(mine):
+                yield places[mine], of[lo:hi][run[mine]]
+
+    def with_seen(seen: tuple[np.ndarray, np.ndarray], places: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at, who = np.concatenate([seen[0], places]), np.concatenate([seen[1], own])
+        order = np.argsort(at, kind="stable")
+        label = np.empty(len(at), np.int64)
+        label[order] = classes(data, at[order])
+        least = np.full(int(label.max()) + 1, NO_ID)
+        np.minimum.at(least, label, who)
+        first = np.full(len(least), len(at))
+        np.minimum.at(first, label, np.arange(len(at)))
+        return label, least, at[first]
+
+    for split in range(splits):
+        seen = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for places, run in parts(split):
+            _, least, at = with_seen(seen, places, owner[run])
+            seen = at, least
+        for places, run in parts(split):
+            label, least, _ = with_seen(seen, places, owner[run])
+            yield places, name[run], least[label[len(seen[0]) :]]
+
+
 def class_bounds(same: np.ndarray, pairs: np.ndarray) -> list[tuple[int, int]]:
     """The sorted ranges of the classes that hold the given neighbour pairs."""
-    found = set()
-    for p in pairs:
-        lo = hi = int(p)
-        while lo > 0 and same[lo - 1]:
-            lo -= 1
-        while hi < len(same) and same[hi]:
-            hi += 1
-        found.add((lo, hi + 1))
-    return sorted(found)
+    head = np.flatnonzero(np.concatenate([[True], ~same]))
+    ends = np.append(head[1:], len(same) + 1)
+    return [(int(head[k]), int(ends[k])) for k in np.unique(np.searchsorted(head, pairs, side="right") - 1)]
 
 
 def joined(places: np.ndarray, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -292,7 +458,7 @@ def grouped_blobs(documents: DataFrame, groups: int) -> DataFrame:
                 blobs.append(pack.compress(sink.getvalue()))
             yield pa.RecordBatch.from_arrays([pa.array(group[heads] if len(group) else [], pa.int32()), pa.array(blobs, pa.binary())], ["grp", "blob"])
 
-    dealt = documents.select(*[F.col(f"`{c}`") for c in names], F.encode(F.coalesce(F.col("text"), F.lit("")), "utf-8").alias("__bytes"), F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int").alias("__group"))
+    dealt = documents.select(*[F.col(f"`{c}`") for c in names], F.encode(F.coalesce(F.col("text"), F.lit("")), "utf-8").alias("__bytes"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int").alias("__group"))
     return dealt.drop("text").mapInArrow(run, "grp int, blob binary")
 
 
@@ -379,27 +545,15 @@ def send_stretches(buckets: int):
         rows: list[tuple[int, int, int, bytes]] = []
         spans: list[np.ndarray] = []
         sent: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        # Parts of whole keys, so that equal suffixes stay together.
-        by_key = np.argsort(keys, kind="stable")
-        size = np.cumsum(count[by_key])
-        lo = 0
-        while lo < len(by_key):
-            hi = int(np.searchsorted(size, (size[lo - 1] if lo else 0) + SORTED, side="right"))
-            hi = max(hi, lo + 1)
-            while hi < len(by_key) and keys[by_key[hi]] == keys[by_key[hi - 1]]:
-                hi += 1
-            some = np.sort(by_key[lo:hi])
-            places, run_of = expand(start[some], count[some])
-            owner = group.ids[doc[some]][run_of]
-            least = repeats(group.data, places, owner)
+        for places, run, least in settled(group.data, start, count, keys, group.ids[doc]):
+            owner = group.ids[doc[run]]
             lost = least < owner
-            head, many_of = joined(places[lost], run_of[lost])
+            head, many_of = joined(places[lost], run[lost])
             at = places[lost][head]
             spans.append(np.stack([group.doc_of(at), at, many_of + LENGTH - 1]))
-            out = ~lost & shared[some][run_of]
-            head, many_of = joined(places[out], run_of[out])
-            sent.append((places[out][head], many_of, some[run_of[out][head]]))
-            lo = hi
+            out = ~lost & shared[run]
+            head, many_of = joined(places[out], run[out])
+            sent.append((places[out][head], many_of, run[out][head]))
         if spans:
             all_spans = np.concatenate(spans, axis=1)
             if all_spans.shape[1]:
@@ -410,11 +564,9 @@ def send_stretches(buckets: int):
             bucket = bucket_of(keys[run], buckets)
             order = np.lexsort((at, bucket))
             at, many_of, run, bucket = at[order], many_of[order], run[order], bucket[order]
-            text = group.data
             for b, lo, hi in zip(*cut(bucket)):
                 o = doc[run[lo:hi]]
-                place, _ = expand(at[lo:hi], many_of[lo:hi] + LENGTH - 1)
-                rows.append((int(b), number, STRETCHES, packed_arrays(keys[run[lo:hi]].astype("<u8") & np.uint64(0xFFFFFFFF), group.ids[o].astype("<i8"), o.astype("<i4"), (at[lo:hi] - group.start[o]).astype("<i8"), many_of[lo:hi].astype("<i4"), text[place])))
+                rows.append((int(b), number, STRETCHES, packed_stretches(group.data, keys[run[lo:hi]] & np.uint64(0xFFFFFFFF), group.ids[o], np.full(len(o), number), o, at[lo:hi] - group.start[o], many_of[lo:hi], at[lo:hi])))
         return row_table(rows)
 
     return run
@@ -428,37 +580,48 @@ def cut(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return sorted_values[head], head, np.append(head[1:], len(sorted_values))
 
 
-def settle_stretches(key: tuple[pa.Scalar], table: pa.Table) -> pa.Table:
-    """Step 4, a bucket: the suffixes that repeat one of a smaller document."""
-    kinds, groups, blobs = table.column("kind").to_numpy(), table.column("grp").to_numpy(), table.column("blob")
-    bucket = key[0].as_py()
-    rows = [(bucket, int(groups[i]), SPANS, blobs[int(i)].as_py()) for i in np.flatnonzero(kinds == SPANS)]
-    parts = [(int(groups[i]), unpacked_arrays(blobs[int(i)].as_py(), "<u8", "<i8", "<i4", "<i8", "<i4", "u1")) for i in np.flatnonzero(kinds == STRETCHES)]
-    if parts:
-        keys, ids, docs, starts, counts = (np.concatenate([p[1][k] for p in parts]) for k in range(5))
-        data = np.concatenate([p[1][5] for p in parts])
-        group = np.repeat([p[0] for p in parts], [len(p[1][0]) for p in parts])
+#: Of each stretch: key, owner, group, document in the group, start in it, suffixes; then the bytes of all.
+STRETCH_KINDS = ("<u8", "<i8", "<i4", "<i4", "<i8", "<i4", "u1")
+
+
+def packed_stretches(data: np.ndarray, keys, ids, groups, docs, starts, counts, places: np.ndarray) -> bytes:
+    """Stretches whose bytes start at ``places`` of ``data``."""
+    at, _ = expand(places, counts.astype(np.int64) + LENGTH - 1)
+    return packed_arrays(*(a.astype(k) for a, k in zip((keys, ids, groups, docs, starts, counts), STRETCH_KINDS)), data[at])
+
+
+def settle_stretches(last: bool):
+    """Step 4, a bucket (or a part of its senders): the suffixes that repeat one of a smaller document; unless ``last``, the others go on."""
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        kinds, groups, blobs = table.column("kind").to_numpy(), table.column("grp").to_numpy(), table.column("blob")
+        bucket, sender = key[0].as_py(), key[-1].as_py()
+        rows = [(bucket, int(groups[i]), SPANS, blobs[int(i)].as_py()) for i in np.flatnonzero(kinds == SPANS)]
+        parts = [unpacked_arrays(blobs[int(i)].as_py(), *STRETCH_KINDS) for i in np.flatnonzero(kinds == STRETCHES)]
+        if not parts:
+            return row_table(rows)
+        keys, ids, group, docs, starts, counts, data = (np.concatenate([p[k] for p in parts]) for k in range(len(STRETCH_KINDS)))
         counts = counts.astype(np.int64)
         base = np.cumsum(counts + LENGTH - 1) - (counts + LENGTH - 1)
-        by_key = np.argsort(keys, kind="stable")
-        size, lo, found = np.cumsum(counts[by_key]), 0, []
-        while lo < len(by_key):
-            hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + SORTED, side="right")))
-            while hi < len(by_key) and keys[by_key[hi]] == keys[by_key[hi - 1]]:
-                hi += 1
-            some = np.sort(by_key[lo:hi])
-            places, run = expand(base[some], counts[some])
-            least = repeats(data, places, ids[some][run])
-            lost = least < ids[some][run]
-            head, many = joined(places[lost], run[lost])
-            of = some[run[lost][head]]
-            found.append(np.stack([group[of], docs[of], starts[of] + places[lost][head] - base[of], many + LENGTH - 1]))
-            lo = hi
+        found, left = [], []
+        for places, of, least in settled(data, base, counts, keys, ids):
+            lost = least < ids[of]
+            head, many = joined(places[lost], of[lost])
+            run_of = of[lost][head]
+            found.append(np.stack([group[run_of], docs[run_of], starts[run_of] + places[lost][head] - base[run_of], many + LENGTH - 1]))
+            if not last:
+                head, many = joined(places[~lost], of[~lost])
+                left.append(np.stack([of[~lost][head], places[~lost][head], many]))
         g, o, s, n = np.concatenate(found, axis=1)
         order = np.lexsort((s, o, g))
         g, o, s, n = g[order], o[order], s[order], n[order]
         rows += [(bucket, int(v), SPANS, packed_arrays(o[lo:hi].astype("<i4"), s[lo:hi].astype("<i8"), n[lo:hi].astype("<i4"))) for v, lo, hi in zip(*cut(g))]
-    return row_table(rows)
+        if left:
+            of, at, many = np.concatenate(left, axis=1)
+            rows.append((bucket, sender, STRETCHES, packed_stretches(data, keys[of], ids[of], group[of], docs[of], starts[of] + at - base[of], many, at)))
+        return row_table(rows)
+
+    return run
 
 
 def removed_spans(group: Group, told: pa.Table) -> list[list[tuple[int, int]]]:
@@ -505,13 +668,19 @@ def deduplicated(documents: DataFrame, finish, schema: str | StructType) -> Data
     keys = blobs.groupBy("grp").applyInArrow(send_keys(buckets), ROW)
     told = keys.groupBy("bucket").applyInArrow(answer_keys, ROW)
     stretches = blobs.groupBy("grp").cogroup(told.groupBy("grp")).applyInArrow(send_stretches(buckets), ROW)
-    settled = stretches.groupBy("bucket").applyInArrow(settle_stretches, ROW).union(told.filter(F.col("kind") == DIGESTS))
+    senders, answers = groups, [told.filter(F.col("kind") == DIGESTS)]
+    while senders > FAN:  # a level of the tree: FAN senders' stretches become one's
+        level = stretches.groupBy("bucket", F.floor(F.col("grp") / FAN).cast("int").alias("sender")).applyInArrow(settle_stretches(False), ROW)
+        answers.append(level.filter(F.col("kind") == SPANS))
+        stretches, senders = level.filter(F.col("kind") == STRETCHES), -(-senders // FAN)
+    answers.append(stretches.groupBy("bucket").applyInArrow(settle_stretches(True), ROW))
+    told_all = reduce(DataFrame.union, answers)
 
     def run(key: tuple[pa.Scalar], table: pa.Table, answers: pa.Table) -> pa.Table:
         group = Group(table.column("blob"))
         return finish(group, removed_spans(group, answers))
 
-    return blobs.groupBy("grp").cogroup(settled.groupBy("grp")).applyInArrow(run, schema)
+    return blobs.groupBy("grp").cogroup(told_all.groupBy("grp")).applyInArrow(run, schema)
 
 
 def digest(documents: DataFrame) -> DataFrame:

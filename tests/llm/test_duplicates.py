@@ -1,6 +1,7 @@
 """Fingerprints, near duplicates, repeated strings and the pipeline against brute force."""
 
 import hashlib
+import os
 import random
 import re
 
@@ -183,7 +184,7 @@ def plain_digest(rows):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("small", [False, True])
+@pytest.mark.parametrize("small", [False, True, "tree"])
 def test_suffixes(spark, small, monkeypatch):
     rows = [(i, (t or "").encode()) for i, t in enumerate(TEXTS)]
     rows += [(None, TEXTS[1].encode()), (300, TEXTS[1].encode()), (300, TEXTS[1].encode()[5:]), (300, TEXTS[2].encode() * 2), (301, (prose(9) + "é" * 49).encode())]
@@ -191,13 +192,13 @@ def test_suffixes(spark, small, monkeypatch):
         monkeypatch.setattr(suffixes, "STRETCH", 256)
         monkeypatch.setattr(suffixes, "SORTED", 64)
         monkeypatch.setattr(suffixes, "plan_sizes", lambda size, parts: (23, 17))
-        suffixes.powers.cache_clear()
+    if small == "tree":  # two levels of buckets before the last
+        monkeypatch.setattr(suffixes, "FAN", 4)
     df = spark.createDataFrame([(i, b.decode(), "e") for i, b in rows], "doc_id long, text string, grp string").repartition(4)
     got = sorted(map(tuple, suffixes.digest(df).collect()), key=str)
     assert got == plain_digest(rows)
     clean = suffixes.cleaned(df.withColumn("kind", F.lit(1)))
     assert clean.columns == ["doc_id", "text", "grp", "kind"] and clean.count() == len(rows)
-    suffixes.powers.cache_clear()
 
 
 def test_suffixes_odd_rows(spark):
@@ -209,16 +210,92 @@ def test_suffixes_odd_rows(spark):
     assert {r.doc_id: r.text for r in cut} == {1: "é" * 25, 2: "è" + "x" * 9}
 
 
-def test_collisions_are_verified():
+def plain_least(data, at, owner):
+    least = {}
+    for p, o in zip(at, owner):
+        w = bytes(data[p : p + 50])
+        least[w] = min(o, least.get(w, o))
+    return [least[bytes(data[p : p + 50])] for p in at]
+
+
+def odd_bytes(seed):
+    """Bytes with long shared prefixes, runs, and repeats at many distances."""
+    rng = np.random.default_rng(seed)
+    words = [bytes(rng.integers(97, 100, n).tolist()) for n in (3, 17, 30, 49, 50, 51, 70)]
+    parts = [words[i] for i in rng.integers(0, len(words), 60)] + [b"z" * 300, bytes(rng.integers(0, 256, 400).tolist()), b"z" * 120]
+    return np.frombuffer(b"".join(parts), np.uint8)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_suffixes_are_sorted(seed):
+    data = odd_bytes(seed)
+    rng = np.random.default_rng(seed)
+    at = np.sort(rng.choice(len(data) - 50, (len(data) - 50) * 2 // 3, replace=False))
+    sorter = suffixes.Sorter(data, at)
+    order, equal = sorter.order()
+    texts = [bytes(data[at[i] : at[i] + 50]) for i in order]
+    assert texts == sorted(texts) and equal.tolist() == [a == b for a, b in zip(texts, texts[1:])]
+    i, j = rng.integers(0, len(at), (2, 500))
+    seed_same = [bytes(data[at[a] : at[a] + suffixes.SEED]) == bytes(data[at[b] : at[b] + suffixes.SEED]) for a, b in zip(i, j)]
+    i, j = i[seed_same], j[seed_same]
+    common = [len(os.path.commonprefix([bytes(data[at[a] : at[a] + 50]), bytes(data[at[b] : at[b] + 50])])) for a, b in zip(i, j)]
+    assert sorter.extension(i, j).tolist() == common
+    owner = rng.integers(0, 30, len(at))
+    assert suffixes.repeats(data, at, owner).tolist() == plain_least(data, at.tolist(), owner.tolist())
+
+
+def test_comparisons_decide_the_order(monkeypatch):
+    """Without them the runs stay in the order of their first bytes, and verification must sort them."""
+    data = odd_bytes(1)
+    at = np.arange(len(data) - 50)
+    asked = []
+    real = suffixes.Sorter.extension
+    monkeypatch.setattr(suffixes.Sorter, "extension", lambda self, i, j: asked.append(len(i)) or real(self, i, j))
+    suffixes.Sorter(data, at).order()
+    assert sum(asked) > 0
+
+
+@pytest.mark.parametrize("multiplier", [0, 1 << 56])
+def test_collisions_are_verified(multiplier, monkeypatch):
+    """Every hash collides, or most do: the bytes decide."""
+    monkeypatch.setattr(suffixes.Sorter, "hashes", lambda self, i, length, real=suffixes.Sorter.hashes: real(self, i, length) * np.uint64(multiplier))
     data = np.frombuffer(b"a" * 50 + b"b" * 50 + b"a" * 50, np.uint8)
-    at, owner = np.array([0, 50, 100]), np.array([1, 2, 3])
-    real = suffixes.suffix_hashes
-    suffixes.suffix_hashes = lambda d, a: np.zeros(len(a), np.uint64)  # every hash collides
-    try:
-        assert suffixes.repeats(data, at, owner).tolist() == [1, 2, 1]
-    finally:
-        suffixes.suffix_hashes = real
-    assert suffixes.repeats(data, at, owner).tolist() == [1, 2, 1]
+    assert suffixes.repeats(data, np.array([0, 50, 100]), np.array([1, 2, 3])).tolist() == [1, 2, 1]
+    for seed in range(3):
+        data = odd_bytes(seed)
+        at, owner = np.arange(len(data) - 50), np.random.default_rng(seed).integers(0, 9, len(data) - 50)
+        assert suffixes.repeats(data, at, owner).tolist() == plain_least(data, at.tolist(), owner.tolist())
+
+
+@pytest.mark.parametrize("most", [50, 400, 10_000])
+def test_keys_of_more_suffixes_than_a_sort_holds(most, monkeypatch):
+    monkeypatch.setattr(suffixes, "SORTED", most)
+    seen = []
+    real = suffixes.Sorter.__init__
+    monkeypatch.setattr(suffixes.Sorter, "__init__", lambda self, data, at: seen.append(len(at)) or real(self, data, at))
+    data = np.concatenate([odd_bytes(3), np.full(3_000, 120, np.uint8), odd_bytes(3)])
+    rng = np.random.default_rng(1)
+    # One key for runs of many suffixes; and a key for each first byte, of single suffixes.
+    long = np.arange(0, len(data) - 130, 70)
+    single = np.arange(len(data) - 50)
+    for start, count, key in ((long, np.full(len(long), 70), np.zeros(len(long), np.uint64)), (single, np.ones(len(single), np.int64), data[single].astype(np.uint64))):
+        owner, got = rng.integers(0, 50, len(start)), {}
+        for places, run, least in suffixes.settled(data, start, count, key, owner):
+            assert (start[run] <= places).all() and (places < start[run] + count[run]).all()
+            got.update(zip(places.tolist(), least.tolist()))
+        at = [int(p) for s, n in zip(start, count) for p in range(s, s + n)]
+        assert [got[p] for p in at] == plain_least(data, at, np.repeat(owner, count).tolist())
+    assert max(seen) <= 6 * max(most, 70)
+
+
+def test_a_passage_in_every_group(spark, monkeypatch):
+    """One passage in all documents of many groups: no task sorts more than its senders' one copy each."""
+    monkeypatch.setattr(suffixes, "plan_sizes", lambda size, parts: (40, 3))
+    monkeypatch.setattr(suffixes, "FAN", 5)
+    passage = prose(40)
+    rows = [(i, (prose(8) + " " + passage + " " + prose(8)).encode()) for i in range(300)] + [(None, passage.encode())] * 50
+    df = spark.createDataFrame([(i, b.decode()) for i, b in rows], "doc_id long, text string").repartition(4)
+    assert sorted(map(tuple, suffixes.digest(df).collect()), key=str) == plain_digest(rows)
 
 
 def test_pipeline(spark, tmp_path):

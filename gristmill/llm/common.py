@@ -41,9 +41,9 @@ def forget(spark: SparkSession) -> None:
         delete_path(spark, path)
 
 
-def written(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
-    """``df`` as a table in the shared folder: lineage is cut and lost executors cost nothing."""
-    path = shared_path(spark, label)
+def written(spark: SparkSession, df: DataFrame, label: str = "", path: str | None = None) -> DataFrame:
+    """``df`` as a table in the shared folder (a new one, or ``path``): lineage is cut and lost executors cost nothing."""
+    path = path or shared_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

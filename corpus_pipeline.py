@@ -2,7 +2,8 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept;
 all but the last return the columns of ``documents``.  ``run`` writes each stage's rows
-to the shared folder and reads them again for the next.
+to the shared folder, reads them again for the next, and deletes them once the next
+stage's rows are written; the last such table stays, as the result reads it.
 
 Defined cases are those of the operators.  Rows with a null doc_id pass the filter by
 their text and are never duplicates of others.  ``n_chars`` is counted anew where a
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gristmill.llm import neardup, packing, quality, suffixes
-from gristmill.llm.common import table, written
+from gristmill.llm.common import delete_path, shared_path, table, written
 from gristmill.llm.queries import vocabulary
 
 #: A text is kept if its probability of being good reaches this.
@@ -56,7 +57,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, held = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = written(spark, stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        path = shared_path(spark, name.replace(" ", "-"))
+        docs = written(spark, stage(spark, docs, sf_dir), path=path)
+        if held:
+            delete_path(spark, held)
+        held = path
     return STAGES[-1][1](spark, docs, sf_dir)

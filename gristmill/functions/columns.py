@@ -111,7 +111,7 @@ def is_match(text: Column, pattern: str | Pattern, start=0, end=None, *, engine:
     plain = analysis.anchored_literal(p.node)
     if plain:
         return {"equals": lambda: text == plain[1], "prefix": lambda: text.startswith(plain[1]), "suffix": lambda: text.endswith(plain[1]), "contains": lambda: text.contains(plain[1])}[plain[0]]()
-    guard = p.required
+    guard, java = p.required, p.run_java
     return text.contains(guard) & text.rlike(java) if len(guard) >= GUARD else text.rlike(java)
 
 
@@ -157,10 +157,11 @@ def shortest_match(text: Column, pattern: str | Pattern, start=0, end=None, *, t
     return exact(candidates(text, p), lambda t, a, b: matching.shortest(p, t, a, b, **more), "int", pa.int32(), *ranged(start, end)[1])
 
 
-def captures_spans(text: Column, pattern: str | Pattern, start=0, end=None, **options) -> Column:
+def captures_spans(text: Column, pattern: str | Pattern, start=0, end=None, *, timeout: float | None = None, **options) -> Column:
     """The spans of the first match's groups: array<struct<start,end>>, NULL where one took no part."""
     p = as_pattern(pattern, **options)
-    return exact(candidates(text, p), lambda t, a, b: spans_of(matching.find(p, t, a, b)), f"array<{SPAN}>", SPANS, *ranged(start, end)[1])
+    more = {} if timeout is None else {"timeout": timeout}
+    return exact(candidates(text, p), lambda t, a, b: spans_of(matching.find(p, t, a, b, **more)), f"array<{SPAN}>", SPANS, *ranged(start, end)[1])
 
 
 def match_text(text: Column, pattern: str | Pattern, *, engine: str | None = None, **options) -> Column:
@@ -284,49 +285,50 @@ def count_matches(text: Column, pattern: str | Pattern, *, overlapping: bool = F
 # --- splitting ----------------------------------------------------------------
 
 
-def _split(text: Column, p: Pattern, n: int | None, mode: str, start, end) -> Column:
+def _split(text: Column, p: Pattern, n: int | None, mode: str, start, end, timeout: float | None = None) -> Column:
     kind, _, arrow, _ = kinds(p)
-    return exact(text, lambda t, a, b: matching.split(p, t, n, mode=mode, start=a, end=b), f"array<{kind}>", pa.list_(arrow), *ranged(start, end)[1])
+    more = {} if timeout is None else {"timeout": timeout}
+    return exact(text, lambda t, a, b: matching.split(p, t, n, mode=mode, start=a, end=b, **more), f"array<{kind}>", pa.list_(arrow), *ranged(start, end)[1])
 
 
-def _split_native(p: Pattern, start, end, engine: str | None) -> str | None:
-    return None if p.nullable else native(p, ranged(start, end)[0], engine)
+def _split_native(p: Pattern, start, end, engine: str | None, timeout: float | None) -> str | None:
+    return None if p.nullable or timeout is not None else native(p, ranged(start, end)[0], engine)
 
 
-def split(text: Column, pattern: str | Pattern, start=0, end=None, *, engine: str | None = None, **options) -> Column:
+def split(text: Column, pattern: str | Pattern, start=0, end=None, *, engine: str | None = None, timeout: float | None = None, **options) -> Column:
     """The fields between the matches."""
     p = as_pattern(pattern, **options)
-    java = _split_native(p, start, end, engine)
-    return _split(text, p, None, "plain", start, end) if java is None else F.split(text, java, -1)
+    java = _split_native(p, start, end, engine, timeout)
+    return _split(text, p, None, "plain", start, end, timeout) if java is None else F.split(text, java, -1)
 
 
-def split_n(text: Column, pattern: str | Pattern, n: int, start=0, end=None, *, engine: str | None = None, **options) -> Column:
+def split_n(text: Column, pattern: str | Pattern, n: int, start=0, end=None, *, engine: str | None = None, timeout: float | None = None, **options) -> Column:
     """At most n fields; none for 0."""
     if not isinstance(n, int) or n < 0:
         raise TypeError("a count must not be negative")
     p = as_pattern(pattern, **options)
-    java = _split_native(p, start, end, engine)
+    java = _split_native(p, start, end, engine, timeout)
     if java is None:
-        return _split(text, p, n, "plain", start, end)
+        return _split(text, p, n, "plain", start, end, timeout)
     return F.split(text, java, n) if n else F.when(text.isNotNull(), F.array().cast("array<string>"))
 
 
-def split_terminator(text: Column, pattern: str | Pattern, start=0, end=None, *, engine: str | None = None, **options) -> Column:
+def split_terminator(text: Column, pattern: str | Pattern, start=0, end=None, *, engine: str | None = None, timeout: float | None = None, **options) -> Column:
     """The fields, without the empty one after a match that ends the text."""
     p = as_pattern(pattern, **options)
-    java = _split_native(p, start, end, engine)
+    java = _split_native(p, start, end, engine, timeout)
     if java is None:
-        return _split(text, p, None, "terminator", start, end)
+        return _split(text, p, None, "terminator", start, end, timeout)
     fields = F.split(text, java, -1)
     return F.when((F.size(fields) > 1) & (F.element_at(fields, -1) == ""), F.slice(fields, 1, F.size(fields) - 1)).otherwise(fields)
 
 
-def split_inclusive(text: Column, pattern: str | Pattern, start=0, end=None, *, engine: str | None = None, **options) -> Column:
+def split_inclusive(text: Column, pattern: str | Pattern, start=0, end=None, *, engine: str | None = None, timeout: float | None = None, **options) -> Column:
     """The fields, each with the match that ends it."""
     p = as_pattern(pattern, **options)
-    java = _split_native(p, start, end, engine)
+    java = _split_native(p, start, end, engine, timeout)
     if java is None:
-        return _split(text, p, None, "inclusive", start, end)
+        return _split(text, p, None, "inclusive", start, end, timeout)
     fields, found = F.split(text, java, -1), F.regexp_extract_all(text, F.lit(java), F.lit(0))
     joined = F.zip_with(fields, F.concat(found, F.array(F.lit(""))), lambda a, b: F.concat(a, b))
     return F.when((F.size(found) > 0) & (F.element_at(fields, -1) == ""), F.slice(joined, 1, F.size(found))).otherwise(joined)
@@ -356,27 +358,27 @@ def _digits_follow(p: Pattern, template: str) -> bool:
     return any(isinstance(a, list) and a and isinstance(b, str) and b[:1].isdigit() for a, b in zip(parts, parts[1:]))
 
 
-def replace_all(text: Column, pattern: str | Pattern, replacement, start=0, end=None, *, engine: str | None = None, **options) -> Column:
+def replace_all(text: Column, pattern: str | Pattern, replacement, start=0, end=None, *, engine: str | None = None, timeout: float | None = None, **options) -> Column:
     """Every match replaced by a template ($1, $name, ${name}, $$) or by fn(match, text)."""
-    return _replace(text, as_pattern(pattern, **options), replacement, None, start, end, engine)
+    return _replace(text, as_pattern(pattern, **options), replacement, None, start, end, engine, timeout)
 
 
-def replace_n(text: Column, pattern: str | Pattern, replacement, n: int, start=0, end=None, *, engine: str | None = None, **options) -> Column:
+def replace_n(text: Column, pattern: str | Pattern, replacement, n: int, start=0, end=None, *, engine: str | None = None, timeout: float | None = None, **options) -> Column:
     """At most n matches replaced."""
     if not isinstance(n, int) or n < 0:
         raise TypeError("a count must not be negative")
-    return _replace(text, as_pattern(pattern, **options), replacement, n, start, end, engine)
+    return _replace(text, as_pattern(pattern, **options), replacement, n, start, end, engine, timeout)
 
 
-def replace_first(text: Column, pattern: str | Pattern, replacement, start=0, end=None, *, engine: str | None = None, **options) -> Column:
+def replace_first(text: Column, pattern: str | Pattern, replacement, start=0, end=None, *, engine: str | None = None, timeout: float | None = None, **options) -> Column:
     """The first match replaced."""
-    return _replace(text, as_pattern(pattern, **options), replacement, 1, start, end, engine)
+    return _replace(text, as_pattern(pattern, **options), replacement, 1, start, end, engine, timeout)
 
 
-def _replace(text: Column, p: Pattern, replacement, n: int | None, start, end, engine: str | None) -> Column:
+def _replace(text: Column, p: Pattern, replacement, n: int | None, start, end, engine: str | None, timeout: float | None) -> Column:
     if not callable(replacement) and type(replacement) is not (bytes if p.byte_mode else str):
         raise TypeError("a replacement must be of the text's type, or callable")
-    java = None if p.nullable or callable(replacement) or n not in (None, 1) else native(p, ranged(start, end)[0], engine)
+    java = None if p.nullable or callable(replacement) or n not in (None, 1) or timeout is not None else native(p, ranged(start, end)[0], engine)
     if java is not None:
         new = java_template(p, replacement)
         if new is not None and not _digits_follow(p, replacement):
@@ -390,7 +392,8 @@ def _replace(text: Column, p: Pattern, replacement, n: int | None, start, end, e
                 rest = F.substr(text, F.length(head) + F.length(found) + 1)
                 return F.when(text.rlike(java), F.concat(head, made, rest)).otherwise(text)
     kind, _, arrow, _ = kinds(p)
-    return otherwise(exact(candidates(text, p), lambda t, a, b: matching.replace(p, t, replacement, n, start=a, end=b), kind, arrow, *ranged(start, end)[1]), text, p, text)
+    more = {} if timeout is None else {"timeout": timeout}
+    return otherwise(exact(candidates(text, p), lambda t, a, b: matching.replace(p, t, replacement, n, start=a, end=b, **more), kind, arrow, *ranged(start, end)[1]), text, p, text)
 
 
 # --- others -------------------------------------------------------------------
@@ -413,13 +416,13 @@ def fuzzy_scan(text: Column, pattern: str | Pattern, max_edits: int = 1, start=0
 fuzzy_scan_at = fuzzy_match = fuzzy_scan
 
 
-def match_errors(text: Column, pattern: str | Pattern, **options) -> Column:
-    """struct<kind,limit,used> for texts whose match exceeds a budget, NULL for others; never taken for no match."""
+def match_errors(text: Column, pattern: str | Pattern, *, max_edits: int | None = None, state_limit: int = matching.STATE_LIMIT, **options) -> Column:
+    """struct<kind,limit,used> for texts whose match (with max_edits: approximate match) exceeds a budget, NULL for others; never taken for no match."""
     p = as_pattern(pattern, **options)
 
     def run(t):
         try:
-            matching.find(p, t)
+            matching.find(p, t) if max_edits is None else matching.fuzzy(p, t, max_edits, state_limit=state_limit)
         except LimitError as e:
             return {"kind": e.kind, "limit": e.limit, "used": e.used}
         return None

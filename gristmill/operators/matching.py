@@ -6,6 +6,7 @@ there; otherwise the exact engines do.  Offsets are code points (octets in byte
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -60,6 +61,13 @@ def bounds(pattern: Pattern, text: Text, start: int, end: int | None) -> int:
     return stop
 
 
+def quick_search(pattern: Pattern, text: Text, at: int) -> re.Match | None:
+    """The standard library's leftmost match from ``at`` on; a run that the pattern starts with is tried once."""
+    if pattern.run_python is None:
+        return pattern.python.search(text, at)
+    return pattern.python.match(text, at) or pattern.run_python.search(text, at + 1)
+
+
 def find(pattern: Pattern, text: Text, start: int = 0, end: int | None = None, *, policy: str = "first", must_end: int | None = None, anchored: bool = False, timeout: float | None = None) -> Match | None:
     """A match inside text[start:end]; anchors look at the whole text."""
     stop = bounds(pattern, text, start, end)
@@ -68,12 +76,12 @@ def find(pattern: Pattern, text: Text, start: int = 0, end: int | None = None, *
     clock = Clock(timeout) if timeout is not None else None
     plain = policy == "first" and must_end is None and clock is None and stop == len(text)
     if plain and pattern.python is not None:
-        found = pattern.python.match(text, start) if anchored else pattern.python.search(text, start)
+        found = pattern.python.match(text, start) if anchored else quick_search(pattern, text, start)
         if found is None:
             return None
         return Match(tuple(None if (s := found.span(i))[0] < 0 else s for i in range(pattern.group_count + 1)))
     if policy != "first" and not anchored and clock is None and stop == len(text) and pattern.python is not None and not pattern.advanced:
-        found = pattern.python.search(text, start)  # the leftmost start
+        found = quick_search(pattern, text, start)  # the leftmost start
         if found is None:
             return None
         start, anchored = found.start(), True
@@ -88,7 +96,7 @@ def advanced(pattern: Pattern, text: Text, start: int = 0, end: int | None = Non
     stop = bounds(pattern, text, start, end)
     o = pattern.options
     limit = o.step_limit or (o.size_limit if o.size_limit < 1_000 else None)
-    engine = Backtracker(pattern.program, text, start, stop, step_limit=limit, nest_limit=o.nest_limit, callout=o.callout, end_is_text_end=o.end_is_text_end, clock=clock)
+    engine = Backtracker(pattern.backtracked, text, start, stop, step_limit=limit, nest_limit=o.nest_limit, callout=o.callout, end_is_text_end=o.end_is_text_end, clock=clock)
     found = engine.search(policy, must_end, anchored)
     return found and _match(found.slots, found.mark)
 
@@ -140,10 +148,10 @@ def each(pattern: Pattern, text: Text, start: int = 0, end: int | None = None, o
 
 def _each_fast(pattern: Pattern, text: Text, start: int) -> Iterator[Match]:
     """The same by the standard library's engine, one search for each match."""
-    search, stop, groups = pattern.python.search, len(text), range(1, pattern.group_count + 1)
+    stop, groups = len(text), range(1, pattern.group_count + 1)
     at, last = start, -1
     while at <= stop:
-        found = search(text, at)
+        found = quick_search(pattern, text, at)
         if found is None:
             return
         whole = a, b = found.span()

@@ -159,6 +159,57 @@ def run(program: Program, text: str | bytes, start: int, end: int, *, anchored:
         now, seen, at = after, seen_after, at + 1
 
 
+def merged(programs: dict[int, Program]) -> tuple[list[tuple], dict[int, int]]:
+    """One program from the members' regular ones: (code, each member's entry).  Its matches name their member; captures are left out."""
+    code: list[tuple] = []
+    entries: dict[int, int] = {}
+    for member, program in programs.items():
+        base = entries[member] = len(code)
+        for at, op in enumerate(program.code):
+            if op[0] == "split":
+                op = ("split", op[1] + base, op[2] + base, *op[3:])
+            elif op[0] == "jump":
+                op = ("jump", op[1] + base)
+            elif op[0] == "save":
+                op = ("jump", at + 1 + base)
+            elif op[0] == "match":
+                op = ("match", member)
+            code.append(op)
+    return code, entries
+
+
+def members(code: list[tuple], entries: dict[int, int], text: str | bytes, start: int, end: int, *, any_one: bool = False, clock: Clock | None = None) -> set[int]:
+    """The members of a merged program that match in text[start:end], by one scan; any_one: the first that is found."""
+    found: set[int] = set()
+    length, now, seen = len(text), [], set()
+    for at in range(start, end + 1):
+        if clock:
+            clock.tick()
+        for member, pc in entries.items():
+            if member not in found:
+                follow(code, now, seen, pc, (), text, at, start, length)
+        after: list = []
+        seen_after: set = set()
+        for pc, slots, wait in now:
+            op = code[pc]
+            if wait:
+                if at < end and wait == 1:
+                    follow(code, after, seen_after, pc, slots, text, at + 1, start, length)
+                elif at < end:
+                    after.append((pc, slots, wait - 1))
+            elif op[0] == "match":
+                found.add(op[1])
+            elif at < end and (taken := consume(op, text, at, end)):
+                if taken == 1:
+                    follow(code, after, seen_after, pc + 1, slots, text, at + 1, start, length)
+                else:
+                    after.append((pc + 1, slots, taken - 1))
+        if found and any_one or len(found) == len(entries):
+            break
+        now, seen = after, seen_after
+    return found
+
+
 def fuzzy(program: Program, text: str | bytes, start: int, end: int, edits: int, limit: int, never_newline: bool, clock: Clock | None = None) -> tuple[Slots, int] | None:
     """The leftmost match within so many edits: there the fewest edits, then the earliest end."""
     from ..plans.errors import FuzzyLimitError

@@ -201,6 +201,24 @@ def decided(node: Node) -> bool:
     return True
 
 
+def leading_run(root: Node) -> Chars | None:
+    """The set of an unbounded repetition that a regular pattern starts with, if it is one set.
+
+    A match that starts inside a run of that set could start one character earlier, so the
+    leftmost match of a whole text starts at the run's start; engines that try every start
+    take quadratic time on a long run unless they are told.
+    """
+    if is_advanced(root):
+        return None
+    items = flat(root)
+    if not items or not isinstance(items[0], Rep) or items[0].most is not None:
+        return None
+    item = items[0].item
+    while isinstance(item, Group) and not item.balance:
+        item = item.item
+    return item if isinstance(item, Chars) and item.set else None
+
+
 def explosive(root: Node) -> bool:
     """Could a backtracking engine without a budget take exponential time?  True unless that is ruled out."""
     def single(x: Node) -> bool:

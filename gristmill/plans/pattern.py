@@ -107,6 +107,13 @@ class Pattern:
         limit = None if self.advanced else self.options.size_limit
         return Compiler(self.source, self.group_count, list(self.names), self.byte_mode, limit).program(self.node)
 
+    @cached_property
+    def backtracked(self) -> Program:
+        """The program for the backtracking engine, whatever the pattern."""
+        if self.advanced or not analysis.empty_loops(self.node):
+            return self.program
+        return Compiler(self.source, self.group_count, list(self.names), self.byte_mode, None).program(self.node, True)
+
     @cached_property
     def budgeted(self) -> bool:
         """Asks for a budget that only the exact engine counts."""
@@ -133,12 +140,31 @@ class Pattern:
         except (NotTranslatable, re.error, OverflowError, RecursionError):
             return None
 
+    @cached_property
+    def run_java(self) -> str | None:
+        """``java`` told not to start inside the run that the pattern starts with: for whether there is a match, in linear time."""
+        run = analysis.leading_run(self.node)
+        if self.java is None or run is None or run.raw:
+            return self.java
+        return f"(?<!{emit.to_java(run)})(?:{self.java})"
+
+    @cached_property
+    def run_python(self) -> re.Pattern | None:
+        """``python`` told not to start inside the run that the pattern starts with; None if that is no matter."""
+        run = analysis.leading_run(self.node)
+        if self.python is None or run is None:
+            return None
+        try:
+            return re.compile(f"(?<!{emit.to_python(run, self.byte_mode)})(?:{self.python.pattern})" if not self.byte_mode else b"(?<!" + emit.to_python(run, True) + b")(?:" + self.python.pattern + b")")
+        except (NotTranslatable, re.error, TypeError):
+            return None
+
     @cached_property
     def required(self) -> str:
         return "" if self.byte_mode else analysis.required_literal(self.node)
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("python",)}
+        return {k: v for k, v in self.__dict__.items() if k not in ("python", "run_python")}
 
     def __setstate__(self, state):
         self.__dict__.update(state)

@@ -47,8 +47,9 @@ class Compiler:
     def here(self) -> int:
         return len(self.code)
 
-    def program(self, root: Node) -> Program:
-        advanced = analysis.is_advanced(root)
+    def program(self, root: Node, advanced: bool | None = None) -> Program:
+        """advanced: for the backtracking engine, whose loops must make progress; by default if the tree needs it."""
+        advanced = analysis.is_advanced(root) if advanced is None else advanced
         self.advanced = advanced
         self.balanced = any(isinstance(n, Group) and n.balance for n in walk(root))
         self.emit(root)

@@ -80,6 +80,34 @@ def probe(spelling: str) -> Ranges | None:
     return charset.ranges(out)
 
 
+# The versions that added characters, in order.
+VERSIONS = ("1.1", "2.0", "2.1", "3.0", "3.1", "3.2", "4.0", "4.1", "5.0", "5.1", "5.2", "6.0", "6.1", "6.2", "6.3", "7.0", "8.0", "9.0", "10.0", "11.0", "12.0", "12.1", "13.0", "14.0", "15.0", "15.1", "16.0")
+
+
+def age(value: str) -> Ranges | None:
+    """The code points that were added in a version ("15.1", "V15_1", "v151", "5"); None if there is none such.
+
+    Read off the Unicode library that comes with Spark, so a session must be running.
+    """
+    held = "".join(c for c in value.lower().replace("_", ".") if c.isalnum() or c == ".").removeprefix("v")
+    whole = {v.partition(".")[0]: v for v in VERSIONS if v.endswith(".0")}
+    version = held if held in VERSIONS else whole.get(held) or {v.replace(".", ""): v for v in VERSIONS}.get(held)
+    return None if version is None else _added(version)
+
+
+@lru_cache(maxsize=32)
+def _added(version: str) -> Ranges:
+    from pyspark import SparkContext
+
+    context = SparkContext._active_spark_context
+    if context is None:
+        raise RuntimeError("the Age property needs a running Spark session")
+    nth = VERSIONS.index(version)
+    older = f"-[:age={VERSIONS[nth - 1]}:]" if nth else ""
+    found = context._jvm.com.ibm.icu.text.UnicodeSet(f"[[:age={version}:]{older}]")
+    return charset.intersect(charset.ranges([(found.getRangeStart(i), found.getRangeEnd(i)) for i in range(found.getRangeCount())]), charset.ALL)
+
+
 @lru_cache(maxsize=256)
 def property_set(name: str, value: str | None) -> Ranges | None:
     """The set of ``name`` or ``name=value``; None if there is no such property."""
@@ -100,7 +128,9 @@ def property_set(name: str, value: str | None) -> Ranges | None:
     if key in ("gc", "generalcategory"):
         found = _SHORT.get(held) or CATEGORIES.get(held)
         return category(found) if found else None
-    if key == "age" or not held or not key or not all(c.isalnum() for c in key + held):
+    if key == "age":
+        return age(value)
+    if not held or not key or not all(c.isalnum() for c in key + held):
         return None
     return probe(f"{name.strip()}={value.strip()}")
 

@@ -13,12 +13,13 @@ in the state until the gap is filled.
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
@@ -56,7 +57,7 @@ class Buffer:
 
     def reset(self) -> None:
         self.parts: list = []
-        self.finished, self.results = False, None
+        self.finished, self.results, self.delivered = False, None, 0
 
     @property
     def text(self):
@@ -72,12 +73,19 @@ class Buffer:
         stop = matching.bounds(self.pattern, chunk, start, end)
         self.parts.append(chunk[start:stop])
 
-    def finish(self) -> list[matching.Match]:
-        """All matches; again the same ones if called again.  A failure leaves the stream open."""
+    def finish(self, deliver: Callable[[matching.Match], object] | None = None) -> list[matching.Match]:
+        """All matches; again the same ones if called again.  A failure leaves the stream open.
+
+        deliver: called with each match in order, once; if it raises, the next call goes
+        on with the first match that it has not taken.
+        """
         if self.results is None:
             more = {} if self.timeout is None else {"timeout": self.timeout}
             self.results = list(matching.each(self.pattern, self.text, self.start, None, self.overlapping, **more))
             self.finished = True
+        while deliver is not None and self.delivered < len(self.results):
+            deliver(self.results[self.delivered])
+            self.delivered += 1
         return self.results
 
 
@@ -141,31 +149,55 @@ class Keyed:
         return out
 
 
-def _stateful(chunks: DataFrame, make, key: str, binary: bool) -> DataFrame:
-    """applyInPandasWithState over a stream of chunks."""
+def _stateful(chunks: DataFrame, make, key: str, binary: bool, keep_ms: int | None) -> DataFrame:
+    """applyInPandasWithState over a stream of chunks.
+
+    Of an ended key only a bare mark stays, so that chunks delivered again are ignored;
+    with ``keep_ms`` it goes so much processing time later (such a query then runs batches
+    without data, as Spark's timeouts need).
+    """
     out = StructType([chunks.schema[key], StructField("start", T_INT), StructField("end", T_INT), StructField("groups", T_SPANS)])
 
     def step(ident: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        if state.exists and state.get[0] is None:
+            if keep_ms:
+                state.setTimeoutDuration(keep_ms)
+            return
         held = pickle.loads(state.get[0]) if state.exists else Keyed(make())
         rows = [r for f in frames for r in f[["seq", "chunk", "is_last"]].itertuples(index=False, name=None)]
         found = held.read([(int(s), bytes(c) if binary and c is not None else c, bool(e)) for s, c, e in rows])
-        state.update((pickle.dumps(held),))
+        state.update((None if held.ended else pickle.dumps(held),))
+        if held.ended and keep_ms:
+            state.setTimeoutDuration(keep_ms)
         yield pd.DataFrame({key: [ident[0]] * len(found), "start": [m.start for m in found], "end": [m.end for m in found], "groups": [columns.spans_of(m) for m in found]})
 
-    return chunks.groupBy(key).applyInPandasWithState(step, out, "state binary", "append", GroupStateTimeout.NoTimeout)
+    return chunks.groupBy(key).applyInPandasWithState(step, out, "state binary", "append", GroupStateTimeout.ProcessingTimeTimeout if keep_ms else GroupStateTimeout.NoTimeout)
 
 
-def buffered_stream(chunks: DataFrame, pattern: str | Pattern, key: str = "stream_id", start: int = 0, *, overlapping: bool = False, **options) -> DataFrame:
+def buffered_stream(chunks: DataFrame, pattern: str | Pattern, key: str = "stream_id", start: int = 0, *, overlapping: bool = False, keep_ms: int | None = None, **options) -> DataFrame:
     """A stream of (key, start, end, groups): the matches of each key's whole text, once its end has come."""
     p = as_pattern(pattern, **options)
-    return _stateful(chunks, lambda: Buffer(p, start, overlapping), key, p.byte_mode)
+    return _stateful(chunks, lambda: Buffer(p, start, overlapping), key, p.byte_mode, keep_ms)
 
 
-def incremental_stream(chunks: DataFrame, pattern: str | Pattern, key: str = "stream_id", start: int = 0, **options) -> DataFrame:
+def incremental_stream(chunks: DataFrame, pattern: str | Pattern, key: str = "stream_id", start: int = 0, *, keep_ms: int | None = None, **options) -> DataFrame:
     """A stream of (key, start, end, groups): each match once no further input can change it."""
     p = as_pattern(pattern, **options)
     streamable(p)
-    return _stateful(chunks, lambda: Incremental(p, start), key, p.byte_mode)
+    return _stateful(chunks, lambda: Incremental(p, start), key, p.byte_mode, keep_ms)
+
+
+def deliver(found: DataFrame, take: Callable[[DataFrame, int], None], checkpoint: str, **trigger) -> StreamingQuery:
+    """Hands every micro-batch of a stream of matches to ``take(matches, batch number)``.
+
+    If ``take`` raises, the query fails; started again with the same checkpoint it goes on
+    with the first batch that has not been taken, under the same number, so a sink that
+    remembers the numbers gets each match once.
+    """
+    return found.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
 def incremental_matches(chunks: DataFrame, pattern: str | Pattern, key: str = "stream_id", start: int = 0, **options) -> DataFrame:

@@ -70,6 +70,78 @@ def test_buffer():
     assert len(many.finish()) == 2
 
 
+def test_delivery_resumes():
+    b, taken, fail = streams.Buffer(compile("[0-9]")), [], [True]
+
+    def take(found):
+        if found.start == 3 and fail.pop():
+            raise RuntimeError("sink")
+        taken.append(found.start)
+
+    b.feed("a1b2c3")
+    with pytest.raises(RuntimeError):
+        b.finish(take)
+    assert taken == [1] and b.finished
+    fail.append(False)
+    assert len(b.finish(take)) == 3 and taken == [1, 3, 5]
+    b.finish(take)
+    assert taken == [1, 3, 5]
+
+
+def test_delivery_of_batches(spark, chunks, tmp_path):
+    """A sink that fails is handed the same batch again under the same number."""
+    source, out, seen = str(tmp_path / "in"), [], []
+    chunks.coalesce(1).write.parquet(source)
+
+    def take(found, number):
+        seen.append(number)
+        if len(seen) == 1:
+            raise RuntimeError("sink")
+        out.extend((r.stream_id, r.start, r.end) for r in found.collect())
+
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    try:
+        for attempt in range(2):
+            held = streams.incremental_stream(spark.readStream.schema(chunks.schema).parquet(source), "[0-9]+")
+            query = streams.deliver(held, take, str(tmp_path / "state"))
+            if attempt:
+                assert query.awaitTermination(120)
+            else:
+                with pytest.raises(Exception, match="sink"):
+                    query.awaitTermination(120)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert seen[0] == seen[1] and sorted(out) == expected("[0-9]+")
+
+
+def test_ended_keys_leave_a_mark_only():
+    held = streams.Keyed(streams.Buffer(compile("a")))
+    held.read([(1, "a", True), (0, "xa", False)])
+    assert held.ended and not held.waiting and held.read([(0, "a", True)]) == []
+
+
+def test_chunks_and_lines(spark, tmp_path):
+    big = "".join(chr(0x20 + i % 90) for i in range(300_000)) + "\n😀\r\nend"
+    df = spark.createDataFrame([(1, big), (2, ""), (3, None)], "stream_id long, text string")
+    got = lines.chunks(df, 1_000).collect()
+    assert "".join(r.chunk for r in sorted(got, key=lambda r: r.seq) if r.stream_id == 1) == big and {len(r.chunk) for r in got if r.stream_id == 1 and not r.is_last} == {1_000}
+    assert [(r.chunk, r.is_last) for r in got if r.stream_id == 2] == [("", True)] and [r.seq for r in got if r.is_last and r.stream_id == 1] == [len(big) // 1_000]
+    texts = {"a.txt": "one\n\nthree\r\n", "b.txt": "no end", "c.txt": "", "d.txt": "".join(f"line {i}\n" for i in range(5_000))}
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text, newline="")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")  # the last file is read in many splits
+    try:
+        rows = lines.file_lines(spark, [str(tmp_path / n) for n in texts]).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    for name, text in texts.items():
+        want = text.split("\n")
+        want = want[:-1] if want[-1] == "" else want
+        assert sorted((r.line_no, r.line) for r in rows if r.label.endswith(name)) == list(enumerate(want, 1)), name
+
+
 def test_incremental():
     def run(pattern, chunks, start=0):
         live = streams.Incremental(pattern, start)

@@ -7,7 +7,8 @@ first ``LENGTH`` bytes only.
 Suffixes are merge-sorted.  Runs of the sort are formed by the first SEED bytes; from
 there two suffixes are compared by their common extension, found by a binary search
 over prefix polynomial hashes (modulo 2**64): the hash of any stretch takes one
-subtraction and one product.  All comparisons of a merge step are made at once.  The
+subtraction and one product.  Suffixes of one hash go as one, and all comparisons of a
+merge step are made at once.  The
 sorted order is then verified by the bytes themselves; where hashes collided, the run
 is sorted by its bytes.  A class of equal suffixes loses all but its smallest
 document's.
@@ -216,13 +217,25 @@ class Sorter:
     def order(self) -> tuple[np.ndarray, np.ndarray]:
         """(suffixes in order, for each but the first whether it equals the one before)."""
         first, second = self.seeds()
-        order = np.lexsort((second, first))
-        same = (first[order[1:]] == first[order[:-1]]) & (second[order[1:]] == second[order[:-1]])
-        head = np.flatnonzero(np.concatenate([[True], ~same]))
-        size = np.diff(np.append(head, len(order)))
-        runs = order.copy()
-        self.merge(order, np.repeat(head, size), np.repeat(size, size))
-        return order, self.verified(order, runs, same)
+        runs = np.lexsort((self.whole, second, first))
+        same = (first[runs[1:]] == first[runs[:-1]]) & (second[runs[1:]] == second[runs[:-1]])
+        # Suffixes of one hash are merged as one.
+        twin = same & (self.whole[runs[1:]] == self.whole[runs[:-1]])
+        head = np.flatnonzero(np.concatenate([[True], ~twin]))
+        many = np.diff(np.append(head, len(runs)))
+        ones = runs[head]
+        seed = np.flatnonzero(np.concatenate([[True], ~same[head[1:] - 1]]))
+        size = np.diff(np.append(seed, len(ones)))
+        merged = ones.copy()
+        self.merge(merged, np.repeat(seed, size), np.repeat(size, size))
+        place = np.full(len(runs), -1)
+        place[ones] = np.arange(len(ones))
+        # Hashes that collide may contradict each other, so that merges lose suffixes: those seeds are as they were.
+        lost = np.add.reduceat(np.bincount(place[merged], minlength=len(ones)) != 1, seed) if len(seed) else seed
+        merged = np.where(np.repeat(lost > 0, size), ones, merged)
+        at, _ = expand(head[place[merged]], many[place[merged]])
+        order = runs[at]
+        return order, self.verified(order, same)
 
     def merge(self, order: np.ndarray, head: np.ndarray, size: np.ndarray) -> None:
         """Merges the runs of each seed, of 1, 2, 4, ... suffixes, in place.  head, size: of each place's seed."""
@@ -251,17 +264,13 @@ class Sorter:
         held = words_at(self.data)
         return [held[self.at[i] + k].byteswap() for k in (*range(0, LENGTH - 8, 8), LENGTH - 8)]
 
-    def verified(self, order: np.ndarray, runs: np.ndarray, same_seed: np.ndarray) -> np.ndarray:
-        """Which neighbours are equal, by their bytes; seeds whose order is wrong are sorted anew by their bytes.
-
-        runs: the order before merges.  Hashes that collide may contradict each other, so that merges lose suffixes.
-        """
-        lost = np.flatnonzero(np.bincount(order, minlength=len(order))[runs] != 1)
+    def verified(self, order: np.ndarray, same_seed: np.ndarray) -> np.ndarray:
+        """Which neighbours are equal, by their bytes; seeds whose order is wrong are sorted anew by their bytes."""
         less, equal = self.neighbours(order)
-        wrong = np.concatenate([lost, np.flatnonzero(~less & ~equal)])
+        wrong = np.flatnonzero(~less & ~equal)
         if len(wrong):
             for lo, hi in class_bounds(same_seed, wrong):
-                order[lo:hi] = sorted(runs[lo:hi].tolist(), key=lambda i: self.data[self.at[i] : self.at[i] + LENGTH].tobytes())
+                order[lo:hi] = sorted(order[lo:hi].tolist(), key=lambda i: self.data[self.at[i] : self.at[i] + LENGTH].tobytes())
             _, equal = self.neighbours(order)
         return equal
 

@@ -142,3 +142,53 @@ def test_sql(spark, texts):
     assert tuple(row)[:4] == (True, True, "1", 3) and row["e"] == ["a", "b", "c", ""] and row["f"] == "a<1>b<2><2>c<3><3><3>" and row["g"] == 1
     got = spark.sql("SELECT m.* FROM t, LATERAL rx_matches(text, '[0-9]+') m WHERE id = 4 ORDER BY nth").collect()
     assert [tuple(r) for r in got] == [(0, 1, 2, "1"), (1, 3, 5, "22"), (2, 6, 9, "333")]
+
+
+MANY = ["(?:[a-z]*[a-z]*)*ing", "(?:a|aa)+b", r"\bthe\b", "[0-9]{2}", "(?=t)the", r"(e|o)\1", "customer", "then|cat", "^x", "lonely", "tab", "one", "two,", "foo", "#00"]
+
+
+@pytest.mark.parametrize("options", [{}, {"case_insensitive": True}])
+def test_sets_are_their_members(options):
+    """A merged scan, an index of literals and members one by one give what each pattern alone gives."""
+    held = sets.compile_set(MANY, **options)
+    assert held.merged[1] and (held.index is not None) == (not options)
+    texts = [t for t in TEXTS if t is not None] + ["the ring sings", "aab then", "book tab", "Customer#0042 one two,", "abcdefghij" * 50]
+    for text in texts:
+        for start in (0, min(2, len(text))):
+            each = [matching.find(p, text, start) for p in held.members]
+            hits = [i for i, f in enumerate(each) if f]
+            assert held.matches(text, start) == hits == held.matches(text, start, timeout=60) and held.any(text, start) == bool(hits)
+            found = held.search(text, start)
+            assert (found and (found[0], found[1].start)) == (min(((f.start, i) for i, f in enumerate(each) if f), default=None) and min(((f.start, i) for i, f in enumerate(each) if f))[::-1])
+    octets = sets.compile_byte_set(["é(?:a*a*)*b", r"(?-u:\xA9)x", "(?:a|aa)+b"])
+    for text in ("éab", "éx", "aab", "é"):
+        assert octets.matches(text.encode()) == [i for i, p in enumerate(octets.members) if matching.is_match(p, text.encode())]
+
+
+def test_pattern_tables_of_several_blocks(spark, texts, monkeypatch):
+    rows = [(1, "c.t"), (2, "c.t"), (2, "c.t"), (3, "the"), (3, "(?:a*a*)*a"), (4, "nothing"), (None, "a"), (5, None)]
+    patterns = spark.createDataFrame(rows, "pattern_id long, pattern string")
+    want = sorted((i, pid) for i, t in enumerate(TEXTS) if t is not None for pid, p in rows if pid and p and matching.is_match(compile(p), t))
+    for block in (1, 2, 3, 100):
+        monkeypatch.setattr(sets, "BLOCK_PATTERNS", block)
+        for engine in (None, "exact"):
+            got = sets.match_table(texts, patterns, engine=engine)
+            assert sorted((r.id, r.pattern_id) for r in got.collect()) == want
+    assert {r.pattern_id: r.hits for r in sets.hits_per_pattern(texts, patterns).collect()}[4] == 0
+
+
+def test_long_runs_are_linear(spark):
+    """A run of a million characters that a pattern starts with: tried once."""
+    df = spark.range(1).select(F.concat(F.repeat(F.lit("a"), 1_000_000), F.lit(" b@c.d")).alias("text"))
+    email = r"[a-z0-9._]+@[a-z0-9]+\.[a-z.]+"
+    assert df.select(rx.is_match(F.col("text"), email), rx.is_match(F.substring("text", 1, 1_000_000), email)).first()[:] == (True, False)
+
+
+def test_timeouts_of_all_operators(texts):
+    text = F.col("text")
+    assert values(texts, rx.split(text, ",", timeout=60)) == [None if t is None else t.split(",") for t in TEXTS]
+    assert values(texts, rx.replace_all(text, "[0-9]+", "#", timeout=60))[4] == "a#b#c#"
+    assert values(texts, rx.captures_spans(text, "c", timeout=60))[2] == [(2, 3)]
+    assert values(texts, sets.set_matches(text, sets.compile_set(["a", "b"]), timeout=60))[2] == [0, 1]
+    held = values(texts, rx.match_errors(text, "qqqqqq", max_edits=2, state_limit=1))
+    assert held[0] is None and held[2].kind == "states"

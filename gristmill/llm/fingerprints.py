@@ -108,8 +108,7 @@ def range_of(cut: list[int]) -> Column:
 def near_documents(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(print, n_near): how many other documents have a print within the radius; ``prints`` has one row for each document."""
     spark = prints.sparkSession
-    # A print's own first half names it: numbering needs no shuffle, and equal names only add up.
-    groups = written(spark, prints.groupBy("print").agg(F.count("*").alias("docs"), F.min("doc_id").alias("rep")), "print-groups")
-    numbered = groups.select("print", F.xxhash64("print").alias("rep"), "docs")
+    # Numbered as they are written, so each print has a number of its own, the same at every later reading.
+    numbered = written(spark, prints.groupBy("print").agg(F.count("*").alias("docs")).select("print", F.monotonically_increasing_id().alias("rep"), "docs"), "print-groups")
     near = near_counts(numbered, BITS, radius)
     return numbered.join(near, "rep", "left").select("print", (F.col("docs") - 1 + F.coalesce("near", F.lit(0))).alias("n_near"))

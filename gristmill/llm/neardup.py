@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
@@ -78,8 +78,8 @@ def near_duplicates(documents: DataFrame, radius: int = RADIUS) -> DataFrame:
 def keep_firsts(documents: DataFrame, radius: int = RADIUS) -> DataFrame:
     """One document of each component: the one with the smallest id.
 
-    Rows with a null id stay.  Rows that repeat an id and its text are one; rows of one
-    id with different texts stay or go together.
+    Rows with a null id stay.  Rows that repeat an id and its text are one: the first by
+    the JSON of its other columns; rows of one id with different texts stay or go together.
     """
     found = written(documents.sparkSession, near_duplicates(documents.filter("doc_id IS NOT NULL"), radius).select("doc_id", "component_id"), "components")
     firsts = found.filter("doc_id = component_id").groupBy(F.col("doc_id").alias("first_id")).agg(F.count("*").alias("rows"))
@@ -87,5 +87,7 @@ def keep_firsts(documents: DataFrame, radius: int = RADIUS) -> DataFrame:
     # The ids grow with the documents: a merge join at every size, no broadcast where they happen to be few.
     kept = documents.join(firsts.hint("merge"), documents["doc_id"] == firsts["first_id"], "left_semi")
     if firsts.filter("rows > 1").limit(1).count():
-        kept = kept.dropDuplicates(["doc_id", "text"])
+        others = F.to_json(F.struct(*(F.col(f"`{c}`") for c in documents.columns if c not in ("doc_id", "text")), F.lit(0).alias("__none")))
+        place = F.row_number().over(Window.partitionBy("doc_id", "text").orderBy(others))
+        kept = kept.withColumn("__place", place).filter("__place = 1").drop("__place")
     return kept.unionByName(documents.filter("doc_id IS NULL"))

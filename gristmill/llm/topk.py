@@ -14,7 +14,8 @@ Defined cases: a row without id, and a vector that is null, or holds a null or a
 non-finite component, takes no part.  A repeated vec_id counts once (the smallest
 vector in array order).  Missing trailing components count as 0.  An empty vector
 scores 0 against everything.  Fewer than k candidates: all are returned.  Empty
-table: no rows.  Equal scores rank by the smaller id.  Other columns are ignored.
+table: no rows.  Equal scores rank by the smaller id.  Components so large that a score
+could exceed 64 bits are an error.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -59,7 +60,9 @@ def dense(column: pa.ChunkedArray) -> np.ndarray:
 
 def score_type(q: np.ndarray, c: np.ndarray) -> type:
     """The fastest number type in which every partial sum is exact."""
-    bound = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * max(1, min(q.shape[1], c.shape[1]))
+    bound = float(np.abs(q.astype(float)).max(initial=0)) * float(np.abs(c.astype(float)).max(initial=0)) * max(1, min(q.shape[1], c.shape[1]))
+    if bound >= 2**63:
+        raise OverflowError("scores could exceed 64 bits: scale the vectors down")
     return np.float32 if bound < 2**24 else np.float64 if bound < 2**53 else np.int64
 
 

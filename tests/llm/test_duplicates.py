@@ -1,6 +1,7 @@
 """Fingerprints, near duplicates, repeated strings and the pipeline against brute force."""
 
 import hashlib
+import math
 import os
 import random
 import re
@@ -83,6 +84,8 @@ def test_near_duplicates_odd_rows(spark):
     df = spark.createDataFrame([(None, "a b"), (1, "a b"), (1, "q r s t u v"), (2, "a b")], "doc_id long, text string")
     got = sorted((r.doc_id or -1, r.component_id or -1) for r in neardup.near_duplicates(df).collect())
     assert got == [(-1, -1), (1, 1), (1, 1), (2, 1)]
+    twice = spark.createDataFrame([(3, "m n o p q", z) for z in ("b", "a", "c")], "doc_id long, text string, z string").repartition(3)
+    assert [tuple(r) for r in neardup.keep_firsts(twice).collect()] == [(3, "m n o p q", "a")]
     kept = neardup.keep_firsts(df.unionAll(df.filter("text = 'a b'")))
     assert sorted((r.doc_id or -1, r.text) for r in kept.collect()) == [(-1, "a b"), (-1, "a b"), (1, "a b"), (1, "q r s t u v")]
 
@@ -143,6 +146,26 @@ def test_fingerprints(spark):
         assert near[p.to_bytes(16, "big")] == sum((p ^ q).bit_count() <= fingerprints.RADIUS for q in held) - 1
 
 
+def plain_simhash(text):
+    """128 signed votes for each pair of neighbouring words, counted one bit at a time."""
+    words = text.encode().split()
+    terms = [b" ".join(p) for p in zip(words, words[1:])] or words
+    votes = [0.0] * 128
+    for term in set(terms):
+        weight = 1 + math.log(terms.count(term))
+        bits = xxhash.xxh3_128_intdigest(term)
+        for b in range(128):
+            votes[b] += weight if bits >> (127 - b) & 1 else -weight
+    return sum(1 << (127 - b) for b in range(128) if votes[b] > 1e-6)
+
+
+def test_fingerprints_by_votes(monkeypatch):
+    monkeypatch.setattr(fingerprints, "VOTES", 16)
+    for text in [t for t in TEXTS if t and len(t) < 2_000]:
+        assert int.from_bytes(fingerprints.fingerprint(text)) == plain_simhash(text)
+    assert fingerprints.fingerprint("") == fingerprints.fingerprint(None) == fingerprints.fingerprint(" \n") == bytes(16)
+
+
 def test_fingerprints_odd_rows(spark):
     schema = "doc_id long, text string"
     assert fingerprints.edited_pairs(spark.createDataFrame([], schema)).collect() == []

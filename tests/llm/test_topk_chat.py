@@ -40,7 +40,9 @@ def test_topk_small_tables(spark):
     assert topk.top_k(*[topk.prepared(spark.createDataFrame([], schema))] * 2).collect() == []
     one = topk.prepared(spark.createDataFrame([(20, [0.5]), (21, [-0.1])], schema))
     assert [tuple(r) for r in topk.top_k(one.filter("vec_id = 20"), one).collect()] == [(20, 1, 21, 32 * -7)]
-    big = np.array([[2**40, 1]]), np.array([[2**40, 3]])
+    with pytest.raises(OverflowError):
+        topk.score_type(np.array([[2**40]]), np.array([[2**40]]))
+    big = np.array([[2**30, 1]]), np.array([[2**30, 3]])
     assert topk.score_type(*big) is np.int64 and topk.search_cell(np.array([1]), big[0][:, 1:], np.array([2]), big[1][:, 1:], 5)[2].tolist() == [3]
 
 

@@ -58,13 +58,16 @@ _BINARY = {
 }
 
 
-@query(f"""SELECT doc_id, {counted({n: p.replace(chr(39), chr(39) * 2) for n, p in _BINARY.items()}, _TEXT)} FROM documents""")
+_PART = f"(p_name || '{SAMPLE}')"
+
+
+@query(f"""SELECT p_partkey, {counted({n: p.replace(chr(39), chr(39) * 2) for n, p in _BINARY.items()}, _PART)} FROM part""")
 def q72_binary_properties(spark, d):
     named = {
         "alphabetic": r"\p{Alphabetic}", "uppercase": r"\p{Uppercase}", "lowercase": r"\p{Lowercase}", "white": r"\p{White_Space}", "hex": r"\p{Hex_Digit}", "ascii_hex": r"\p{AHex}", "dash": r"\p{Dash}", "joiner": r"\p{Join_Control}", "nonchar": r"\p{Noncharacter_Code_Point}",
         "ideographic": r"\p{Ideographic}", "any_char": r"\p{Any}", "ascii": r"\p{ASCII}", "assigned": r"\p{Assigned}", "diacritic": r"\p{Diacritic}", "soft_dotted": r"\p{Soft_Dotted}", "quotation": r"\p{Quotation_Mark}",
     }
-    return _with_sample(spark, d).select("doc_id", *counts(named, F.col("text")))
+    return table(spark, d, "part").select("p_partkey", *counts(named, F.concat("p_name", F.lit(SAMPLE))))
 
 
 @query(f"""SELECT doc_id, {counted({"greek": r"[\x{370}-\x{3ff}]", "basic": r"[\x00-\x7f]", "punct": r"[\x{2000}-\x{206f}]", "added_15": r"\x{1f6dc}", "added_11": r"[A-Z]", "extend": r"[\x{301}\x{200d}]", "numeric": r"[\p{Nd}]", "scx_hebr": r"[\x{5d0}\x{5d1}\x{5f3}]"}, _TEXT)} FROM documents""")
@@ -344,17 +347,18 @@ def q95_incremental_streaming(spark, d):
     return _streamed(spark, d, lambda held: streams.incremental_stream(held, NUMBER, "doc_id"), "incremental")
 
 
-@query("""WITH w AS (SELECT doc_id, regexp_extract_all(text, '[\\p{L}]+') AS m, string_split_regex(text, '[\\p{L}]+') AS g FROM documents),
-i AS (SELECT doc_id, m, g, unnest(range(1, len(m) + 1)) AS i FROM w)
-SELECT doc_id, CAST(list_sum(list_transform(g[1:i], lambda x: strlen(x))) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: strlen(x))), 0) AS INTEGER) AS s,
+@query("""WITH t AS (SELECT page_id, url || 'éß漢😀ñ' || url AS text FROM pages),
+w AS (SELECT page_id, regexp_extract_all(text, '[\\p{L}]+') AS m, string_split_regex(text, '[\\p{L}]+') AS g FROM t),
+i AS (SELECT page_id, m, g, unnest(range(1, len(m) + 1)) AS i FROM w)
+SELECT page_id, CAST(list_sum(list_transform(g[1:i], lambda x: strlen(x))) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: strlen(x))), 0) AS INTEGER) AS s,
   CAST(list_sum(list_transform(g[1:i], lambda x: strlen(x))) + list_sum(list_transform(m[1:i], lambda x: strlen(x))) AS INTEGER) AS e FROM i""")
 def q96_octet_stream(spark, d):
     # Octets cut anywhere, also inside characters, and put together again by the live search.
-    octets = table(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", F.encode("text", "utf-8").alias("raw"))
-    many = F.greatest(F.ceil(F.octet_length("raw") / 997).cast("int"), F.lit(1))
-    cut = octets.select("doc_id", "raw", many.alias("many"), F.explode(F.sequence(F.lit(0), many - 1)).alias("seq"))
-    cut = cut.select("doc_id", F.col("seq").cast("long").alias("seq"), F.substr(F.col("raw"), F.col("seq") * 997 + 1, F.lit(997)).alias("chunk"), (F.col("seq") == F.col("many") - 1).alias("is_last"))
-    return streams.incremental_matches(cut, compile_bytes(r"\p{L}+"), "doc_id").select("doc_id", F.col("start").alias("s"), F.col("end").alias("e"))
+    octets = table(spark, d, "pages").filter("url IS NOT NULL").select("page_id", F.encode(F.concat("url", F.lit("éß漢😀ñ"), "url"), "utf-8").alias("raw"))
+    many = F.greatest(F.ceil(F.octet_length("raw") / 7).cast("int"), F.lit(1))
+    cut = octets.select("page_id", "raw", many.alias("many"), F.explode(F.sequence(F.lit(0), many - 1)).alias("seq"))
+    cut = cut.select("page_id", F.col("seq").cast("long").alias("seq"), F.substr(F.col("raw"), F.col("seq") * 7 + 1, F.lit(7)).alias("chunk"), (F.col("seq") == F.col("many") - 1).alias("is_last"))
+    return streams.incremental_matches(cut, compile_bytes(r"\p{L}+"), "page_id").select("page_id", F.col("start").alias("s"), F.col("end").alias("e"))
 
 
 @query(f"SELECT lang, count(*) AS n FROM documents WHERE regexp_matches(text, '{EMAIL}|[A-Z]{{3}}[a-z0-9]{{2}}') GROUP BY lang")

@@ -63,6 +63,12 @@ def loose(name: str) -> str:
     return found[2:] if found.startswith("is") and len(found) > 2 else found
 
 
+@lru_cache(maxsize=1)
+def every() -> list[tuple[int, str]]:
+    """All characters in order, as strings with the first one's code point."""
+    return [(lo, "".join(map(chr, range(lo, hi + 1)))) for lo, hi in charset.ALL]
+
+
 @lru_cache(maxsize=256)
 def probe(spelling: str) -> Ranges | None:
     """The set of a property that the standard library lacks, read off the ``regex`` module."""
@@ -75,8 +81,8 @@ def probe(spelling: str) -> Ranges | None:
     except regex.error:
         return None
     out: list[tuple[int, int]] = []
-    for lo, hi in charset.ALL:
-        out += [(lo + m.start(), lo + m.end() - 1) for m in found.finditer("".join(map(chr, range(lo, hi + 1))))]
+    for lo, held in every():
+        out += [(lo + m.start(), lo + m.end() - 1) for m in found.finditer(held)]
     return charset.ranges(out)
 
 

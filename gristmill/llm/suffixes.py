@@ -57,7 +57,7 @@ LENGTH, GRAM = 50, 24
 #: Bytes that form the first runs of the sort.
 SEED = 16
 #: Suffixes hashed at once, and sorted at once.
-STRETCH, SORTED = 1 << 18, 1 << 19
+STRETCH, SORTED = 1 << 18, 1 << 18
 #: Senders of stretches that one task takes.
 FAN = 2_048
 
